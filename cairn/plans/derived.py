@@ -43,3 +43,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"),
                     (F.col("vec_id") * 10).cast("bigint").alias("time"),
                     preds.alias("predictions"))
+
+
+def tag_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag definitions (tag, group, cluster): group 'type' for part-type words,
+    else 'name'; cluster = group + first letter of the tag."""
+    types = V.table(spark, sf_dir, "part").select(F.lower("p_type").alias("tag")).distinct() \
+        .withColumn("_is_type", F.lit(True))
+    t = V.item_tag(spark, sf_dir).select("tag").distinct().join(types, "tag", "left")
+    grp = F.when(F.col("_is_type"), "type").otherwise("name")
+    return t.select("tag", grp.alias("group"), F.concat(grp, F.lit("_"), F.substring("tag", 1, 1)).alias("cluster"))
