@@ -1,7 +1,6 @@
 """User affinity to dimensions and tags (survey A8-A12).
 
-Global shares are one-row aggregates joined back with a broadcast of that
-single row; per-user shares are grouped aggregates. Nothing is collected to
+Global totals are scalar subqueries (one aggregate evaluated once); per-user shares are grouped aggregates. Nothing is collected to
 the driver, and the user cap is applied with a grouped count, not a list.
 """
 
@@ -22,9 +21,9 @@ def user_dim_clusters(actions: DataFrame, item_dim: DataFrame, min_actions: int,
     a = filter_users_by_activity(actions.select(user, item), min_actions, None, user=user)
     ud = a.join(item_dim.select(item, dim), item).select(user, dim)
     ud_counts = ud.groupBy(user, dim).agg(F.count(F.lit(1)).alias("_c"))
-    total_all = ud_counts.agg(F.sum("_c").alias("_n"))  # one row
-    dim_share = ud_counts.groupBy(dim).agg(F.sum("_c").alias("_dc")).crossJoin(F.broadcast(total_all)) \
-        .select(dim, (F.col("_dc") / F.col("_n")).alias("_g"))
+    total_all = ud_counts.agg(F.sum("_c")).scalar()  # scalar subquery, evaluated once
+    dim_share = ud_counts.groupBy(dim).agg(F.sum("_c").alias("_dc")) \
+        .select(dim, (F.col("_dc") / total_all).alias("_g"))
     per_user = ud_counts.withColumn("_ut", F.sum("_c").over(Window.partitionBy(user)))
     share = per_user.join(dim_share, dim).select(user, dim, (F.col("_c") / F.col("_ut")).alias("weight"), "_g")
     passing = share.filter(F.col("weight") > F.col("_g") + F.lit(delta)).drop("_g")
@@ -51,9 +50,9 @@ def user_tag_affinity(actions: DataFrame, item_tag: DataFrame, min_actions: int
     Users with more than ``max_tags`` passing tags are dropped entirely
     (A10 ``analysis=True``: no cap, with the user's action count)."""
     acts, tags = _tag_rows(actions, item_tag, min_actions, user, item)
-    n_all = acts.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    glob = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("_tc")).crossJoin(F.broadcast(n_all)) \
-        .select("tag", (F.col("_tc") / F.col("_n")).alias("_g"))
+    n_all = acts.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    glob = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("_tc")) \
+        .select("tag", (F.col("_tc") / n_all).alias("_g"))
     docs = acts.groupBy(user).agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_actions)
     if tag_filter is not None:
         tags = tags.join(tag_filter.select("tag").distinct(), "tag", "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import require_dims
-from cairn.operators.ranking import top_k
+from cairn.operators.ranking import global_top, top_k
 
 
 def most_popular(actions: DataFrame, item="item_id") -> DataFrame:
@@ -95,7 +95,8 @@ def top_counts(cc: DataFrame, limit: int, by: str = "cluster", item_dim: DataFra
             cc = cc.join(ok2.distinct(), item, "left_semi")
     if by == "global":
         g = cc.groupBy(item).agg(F.sum("count").alias("count"))
-        return top_k(g.withColumn("_all", F.lit(0)), ["_all"], [F.desc("count"), F.asc(item)], limit).drop("_all")
+        top = global_top(g, [F.desc("count"), F.asc(item)], limit)  # per-task top n, one small merge
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), F.asc(item))).cast("bigint"))
     return top_k(cc, [cluster], [F.desc("count"), F.asc(item)], limit)
 
 
@@ -105,9 +106,9 @@ def significant_counts(cc: DataFrame, alpha: float, now: int, limit: int,
     where c is the decayed count, s the item's total over clusters, sg the
     grand total and sl the sum of decay weights of the cluster's rows."""
     item_tot = cc.groupBy(item).agg(F.sum("count").alias("_s"))
-    grand = cc.agg(F.sum("count").alias("_sg"))  # one row
+    grand = cc.agg(F.sum("count")).scalar()  # scalar subquery
     cl = cc.groupBy(cluster).agg(F.sum(decay_factor(now, F.col("t"), alpha)).alias("_sl"))
-    j = cc.join(item_tot, item).join(cl, cluster).crossJoin(F.broadcast(grand))
+    j = cc.join(item_tot, item).join(cl, cluster).withColumn("_sg", grand)
     a = F.col("count") / F.col("_sl")
     b = F.col("_s") / F.col("_sg")
     scored = j.select(cluster, item, "count",
