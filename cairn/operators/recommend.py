@@ -103,7 +103,8 @@ def recommend_popular_in_session(recent: DataFrame, item_dim: DataFrame, dim_top
 
 def recommend_static(table: DataFrame, n: int, item_dim: DataFrame | None = None,
                      dims: Sequence[int] | None = None, user="user_id", item="item_id") -> DataFrame:
-    """Precomputed (user, item, score) limited to items in ``dims``; top n rescaled."""
+    """Precomputed (user, item, score > 0) limited to items in ``dims``; top n rescaled."""
+    table = table.filter(F.col("score") > 0)
     if item_dim is not None and dims:
         table = table.join(item_dim.filter(F.col("dim_id").isin(list(dims))).select(item).distinct(), item, "left_semi")
     return rescale_top(table, n, user, item)
