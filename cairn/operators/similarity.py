@@ -33,18 +33,23 @@ def user_item_pairs(actions: DataFrame, min_items_per_user: int = 0, min_users_p
     return p
 
 
-def co_occurrence(pairs: DataFrame, chunk: int = 2000, key="user_id", item="item_id") -> DataFrame:
-    """(item1 < item2, co) = number of keys holding both items, via the
-    chunked grid self-join described in the module doc."""
-    sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
-    p = pairs.join(sizes, key).withColumn(
+def co_occurrence(pairs: DataFrame, chunk: int = 2000, key="user_id", item="item_id",
+                  group: tuple = ()) -> DataFrame:
+    """(group..., item1 < item2, co) = number of keys holding both items, via
+    the chunked grid self-join described in the module doc. ``key`` may be a
+    list of columns; ``group`` columns must be determined by the key."""
+    keys = [key] if isinstance(key, str) else list(key)
+    grp = list(group)
+    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
+    p = pairs.join(sizes, keys).withColumn(
         "_s", F.greatest(F.lit(1), F.ceil(F.col("_len") / F.lit(chunk))).cast("int"))
     p = p.withColumn("_c", F.pmod(F.xxhash64(F.col(item)), F.col("_s")).cast("int"))
     grid = F.sequence(F.lit(0), F.col("_s") - 1)
-    left = p.select(key, F.col("_c").alias("_a"), F.explode(grid).alias("_b"), F.col(item).alias("item1"))
-    right = p.select(key, F.explode(grid).alias("_a"), F.col("_c").alias("_b"), F.col(item).alias("item2"))
-    j = left.join(right, [key, "_a", "_b"]).filter(F.col("item1") < F.col("item2"))
-    return j.groupBy("item1", "item2").agg(F.count(F.lit(1)).alias("co"))
+    left = p.select(*keys, *[c for c in grp if c not in keys], F.col("_c").alias("_a"),
+                    F.explode(grid).alias("_b"), F.col(item).alias("item1"))
+    right = p.select(*keys, F.explode(grid).alias("_a"), F.col("_c").alias("_b"), F.col(item).alias("item2"))
+    j = left.join(right, keys + ["_a", "_b"]).filter(F.col("item1") < F.col("item2"))
+    return j.groupBy(*grp, "item1", "item2").agg(F.count(F.lit(1)).alias("co"))
 
 
 def item_similarity(actions: DataFrame, limit: int = 100, threshold: float = 0.0,

@@ -12,7 +12,11 @@ from cairn.plans import views as V
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """API request log: path chosen by event type; exectime from value."""
-    c = V.clicks(spark, sf_dir)
+    return requests_of(V.clicks(spark, sf_dir))
+
+
+def requests_of(c: DataFrame) -> DataFrame:
+    """``requests`` over any clicks frame (batch or stream)."""
     uid, iid = F.col("user_id").cast("string"), F.col("item_id").cast("string")
     path = (F.when(F.col("event_type") == "view", F.concat(F.lit("/users/"), uid, F.lit("/recommendations")))
              .when(F.col("event_type") == "click", F.concat(F.lit("/items/"), iid, F.lit("/actions")))
@@ -32,7 +36,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction log: three scored classes per embedding row."""
-    e = V.table(spark, sf_dir, "embeddings")
+    return predictions_of(V.table(spark, sf_dir, "embeddings"))
+
+
+def predictions_of(e: DataFrame) -> DataFrame:
+    """``predictions`` over any embeddings frame (batch or stream)."""
     preds = F.array(*[
         F.struct(F.element_at("embedding", i + 1).cast("double").alias("prediction"),
                  F.lit(cls).alias("predictedClass"), F.lit(1.0).alias("confidence"))
@@ -42,6 +50,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("label") == 0, "v0").otherwise("v1").alias("variation"),
                     F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"),
                     (F.col("vec_id") * 10).cast("bigint").alias("time"),
+                    F.timestamp_seconds(F.col("vec_id") * 10).alias("ts"),
                     preds.alias("predictions"))
 
 

@@ -55,7 +55,11 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-dense user-item stream from ``events``: item = props.k."""
-    e = table(spark, sf_dir, "events")
+    return clicks_of(table(spark, sf_dir, "events"))
+
+
+def clicks_of(e: DataFrame) -> DataFrame:
+    """``clicks`` over any events frame (batch or stream)."""
     return e.select(
         F.col("event_id"),
         F.col("user_id"),
@@ -74,7 +78,12 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     abkey = baseline / normal by user parity; rectag = 'rt' || k % 4 with
     k % 4 = 0 left null (to be defaulted); shown list = k, k+1, k+7 (mod 100).
     """
-    c = clicks(spark, sf_dir).filter(F.col("event_type").isin("view", "click"))
+    return impressions_of(clicks(spark, sf_dir))
+
+
+def impressions_of(clicks_df: DataFrame) -> DataFrame:
+    """``impressions`` over any clicks frame (batch or stream)."""
+    c = clicks_df.filter(F.col("event_type").isin("view", "click"))
     k = F.col("item_id")
     return c.select(
         "event_id",
