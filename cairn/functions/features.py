@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.functions.ids import dense_index
 from cairn.functions.scalars import date_features
 
 
@@ -76,7 +77,7 @@ def svmlight_features(df: DataFrame, key: str, features: Sequence[str], out: str
     for p in parts[1:]:
         long = long.unionByName(p)
     names = long.select("_name").distinct()
-    ids = names.withColumn("feature_id", F.dense_rank().over(Window.orderBy("_name")).cast("int"))
+    ids = dense_index(names, ["_name"], "feature_id").withColumn("feature_id", F.col("feature_id").cast("int"))
     j = long.join(ids, "_name")
     rows = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("feature_id", "_val"))).alias("_p")) \
         .select(key, F.concat_ws(" ", F.transform("_p", lambda x: F.concat(
