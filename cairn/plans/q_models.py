@@ -1 +1,264 @@
-"""Registered queries."""
+"""Registered queries: model fits and vector operators.
+
+Seeded stochastic fits (ALS, LDA, KMeans, Word2Vec, LSH, tree models) are
+rows-only; operators that consume given factors / weights carry SQL twins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cairn.functions import features as FE
+from cairn.operators import models as M
+from cairn.operators import popularity as POP
+from cairn.operators.recommend import ranked_list
+from cairn.operators.sessions import session_items
+from cairn.operators.similarity import recent_items
+from cairn.plans import views as V
+from cairn.plans.oracle import W
+from cairn.plans.registry import query
+
+
+def r(c, name):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+
+
+def _ratings(spark, d):
+    return POP.action_ratings(V.actions(spark, d), {1: (1.0, 3.0), 2: (0.5, 1.0), 3: (0.2, 1.0)})
+
+
+@query("m3_fit_mf")
+def q_m3(spark, d):
+    model = M.fit_mf(_ratings(spark, d), rank=10, iters=5, seed=3)
+    return model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.size("features").alias("rank"))
+
+
+@query("m4_recommend_mf")
+def q_m4(spark, d):
+    model = M.fit_mf(_ratings(spark, d), rank=10, iters=5, seed=3)
+    return M.recommend_mf(model, V.actions(spark, d).select("user_id", "item_id"), 5)
+
+
+@query("m5_recent_mf_vectors", W("actions") + """,
+l AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, item_id ORDER BY t DESC, order_key DESC, line_no DESC) AS k,
+             t, order_key, line_no FROM actions),
+rec AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, order_key DESC, line_no DESC, item_id DESC) AS q
+        FROM l WHERE k = 1) WHERE q <= 5),
+fl AS (SELECT vec_id, CAST(u.p - 1 AS INTEGER) AS dim, CAST(u.v AS DOUBLE) AS v FROM embeddings,
+       LATERAL (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p) u),
+s AS (SELECT rec.user_id, fl.dim, SUM(fl.v) AS v FROM rec JOIN fl ON rec.item_id = fl.vec_id GROUP BY ALL),
+l1 AS (SELECT user_id, SUM(abs(v)) AS l1 FROM s GROUP BY user_id)
+SELECT s.user_id, s.dim, round(CASE WHEN l1 > 0 THEN v / l1 ELSE 0.0 END, 6) AS value FROM s JOIN l1 ON s.user_id = l1.user_id""")
+def q_m5(spark, d):
+    rec = recent_items(V.actions(spark, d), 5)
+    iv = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), M.as_double_array("embedding").alias("features"))
+    out = M.recent_mf_user_vectors(rec, iv)
+    return out.select("user_id", "dim", r("value", "value"))
+
+
+@query("m6_mf_user_clusters")
+def q_m6(spark, d):
+    model = M.fit_mf(_ratings(spark, d), rank=12, iters=5, seed=3)
+    return M.mf_user_clusters(model.userFactors, k=5, dims=4, iters=20, seed=3)
+
+
+def _user_tags(spark, d):
+    return V.actions(spark, d).select("user_id", "item_id").join(V.item_tag(spark, d), "item_id").select("user_id", "tag")
+
+
+@query("m9_fit_topics")
+def q_m9(spark, d):
+    ut, tt = M.fit_topics(_user_tags(spark, d), k=5, iters=10, seed=3)
+    return ut
+
+
+TOPIC_SQL = W("actions", "item_tag") + """,
+ut0 AS (SELECT a.user_id, t.tag AS topic, COUNT(*) AS c FROM actions a JOIN item_tag t ON a.item_id = t.item_id GROUP BY ALL),
+ut AS (SELECT user_id, topic, c / SUM(c) OVER (PARTITION BY user_id) AS weight FROM ut0),
+nt AS (SELECT item_id FROM item_tag GROUP BY item_id HAVING COUNT(*) >= 3),
+it0 AS (SELECT t.item_id, t.tag AS topic, SUM(1.0) AS w FROM item_tag t JOIN nt ON t.item_id = nt.item_id GROUP BY ALL),
+it AS (SELECT item_id, topic, w / SUM(w) OVER (PARTITION BY item_id) AS weight FROM it0),
+pop AS (SELECT item_id, COUNT(*) AS n FROM actions GROUP BY item_id ORDER BY n DESC, item_id LIMIT 30),
+cand AS (SELECT u.user_id, pop.item_id FROM (SELECT DISTINCT user_id FROM actions) u, pop
+         WHERE NOT EXISTS (SELECT 1 FROM actions a WHERE a.user_id = u.user_id AND a.item_id = pop.item_id))"""
+
+
+def _topic_inputs(spark, d):
+    a = V.actions(spark, d)
+    it = V.item_tag(spark, d)
+    ut = a.select("user_id", "item_id").join(it, "item_id").groupBy("user_id", F.col("tag").alias("topic")).agg(F.count(F.lit(1)).alias("c"))
+    from pyspark.sql import Window
+    ut = ut.select("user_id", "topic", (F.col("c") / F.sum("c").over(Window.partitionBy("user_id"))).alias("weight"))
+    tag_topics = it.select("tag").distinct().select("tag", F.col("tag").alias("topic"), F.lit(1.0).alias("weight"))
+    item_topics = M.item_topic_vectors(it.select("item_id", "tag"), tag_topics, 3)
+    pop = a.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = ranked_list(pop, [F.desc("n"), F.asc("item_id")], 30)
+    users = a.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("pos"))
+    cands = users.join(ranked.select("pos", "item_id"), "pos").select("user_id", "item_id")
+    return a, ut, item_topics, cands
+
+
+@query("m10_recommend_topics", TOPIC_SQL + """,
+sc AS (SELECT c.user_id, c.item_id, SUM(it.weight * ut.weight) AS score FROM cand c JOIN it ON c.item_id = it.item_id
+       JOIN ut ON ut.user_id = c.user_id AND ut.topic = it.topic GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc)
+SELECT user_id, item_id, rank, round(score / max(score) OVER (PARTITION BY user_id), 6) AS score FROM rk WHERE rank <= 5""")
+def q_m10(spark, d):
+    a, ut, item_topics, cands = _topic_inputs(spark, d)
+    out = M.recommend_topics(ut, item_topics, cands, a.select("user_id", "item_id"), 5)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
+
+
+@query("m11_recent_topics", TOPIC_SQL + """,
+l AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, item_id ORDER BY t DESC, order_key DESC, line_no DESC) AS k,
+             t, order_key, line_no FROM actions),
+rec AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, order_key DESC, line_no DESC, item_id DESC) AS q
+        FROM l WHERE k = 1) WHERE q <= 5),
+rn AS (SELECT user_id, COUNT(*) AS n FROM rec GROUP BY user_id),
+uv AS (SELECT rec.user_id, it.topic, SUM(it.weight) / max(rn.n) AS weight FROM rec JOIN it ON rec.item_id = it.item_id
+       JOIN rn ON rn.user_id = rec.user_id GROUP BY ALL),
+sc AS (SELECT c.user_id, c.item_id, SUM(it.weight * uv.weight) AS score FROM cand c JOIN it ON c.item_id = it.item_id
+       JOIN uv ON uv.user_id = c.user_id AND uv.topic = it.topic GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc)
+SELECT user_id, item_id, rank, round(score / max(score) OVER (PARTITION BY user_id), 6) AS score FROM rk WHERE rank <= 5""")
+def q_m11(spark, d):
+    a, _, item_topics, cands = _topic_inputs(spark, d)
+    rec = recent_items(a, 5)
+    uv = M.recent_topic_vectors(rec, item_topics)
+    out = M.recommend_topics(uv, item_topics, cands, a.select("user_id", "item_id"), 5)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
+
+
+@query("m12_item2vec")
+def q_m12(spark, d):
+    sess = session_items(V.clicks(spark, d), 21600 * 1_000_000, 1, 1000, t="t_us", seq=("t_us", "event_id"))
+    model = M.fit_item2vec(sess, dim=16, min_count=5, seed=3)
+    from pyspark.ml.functions import vector_to_array
+    return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("dim"))
+
+
+def _emb(spark, d):
+    return V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+@query("m13_vector_neighbours")
+def q_m13(spark, d):
+    out = M.vector_neighbours(_emb(spark, d), 5)
+    return out.select("id", "other", r("sim", "sim"), "rank")
+
+
+@query("m14_recommend_vectors")
+def q_m14(spark, d):
+    nb = M.vector_neighbours(_emb(spark, d), 10)
+    a = V.actions(spark, d)
+    rec = recent_items(a, 5)
+    return M.recommend_vectors(nb, rec, a.select("user_id", "item_id"), 5)
+
+
+@query("m15_sort_by_vectors")
+def q_m15(spark, d):
+    nb = M.vector_neighbours(_emb(spark, d), 10)
+    a = V.actions(spark, d)
+    rec = recent_items(a, 5)
+    given = recent_items(a, 20).select("user_id", "item_id")
+    return M.sort_by_vectors(given, nb, rec, a.select("user_id", "item_id"))
+
+
+def _doc_terms(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
+    return docs.select("doc_id", F.explode("toks").alias("term")).distinct()
+
+
+@query("m16_random_index")
+def q_m16(spark, d):
+    docs, terms = M.random_index_vectors(_doc_terms(spark, d), dim=64)
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("nnz"))
+
+
+@query("m17_doc_similarity")
+def q_m17(spark, d):
+    docs, _ = M.random_index_vectors(_doc_terms(spark, d), dim=64)
+    vec = docs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
+    dense = vec.select(F.col("doc_id").alias("id"),
+                       F.transform(F.sequence(F.lit(0), F.lit(63)),
+                                   lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0))).alias("vec"))
+    return M.vector_neighbours(dense, 5).select("id", "other", r("sim", "sim"), "rank")
+
+
+@query("m31_predict_rating", """
+WITH e AS (SELECT vec_id, label, CAST(u.v AS DOUBLE) AS v, u.p AS dim FROM embeddings,
+           LATERAL (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p) u),
+c AS (SELECT label, dim, avg(v) AS cv FROM e GROUP BY ALL),
+dt AS (SELECT e.vec_id, c.label AS ref, SUM(e.v * c.cv) AS dp FROM e JOIN c ON e.dim = c.dim GROUP BY ALL),
+ne AS (SELECT vec_id, sqrt(SUM(v * v)) AS n FROM e GROUP BY vec_id),
+nc AS (SELECT label, sqrt(SUM(cv * cv)) AS n FROM c GROUP BY label),
+cs AS (SELECT dt.vec_id, dt.ref, CASE WHEN ne.n = 0 OR nc.n = 0 THEN 0.0 ELSE dp / (ne.n * nc.n) END AS sim
+       FROM dt JOIN ne ON dt.vec_id = ne.vec_id JOIN nc ON dt.ref = nc.label),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, ref) AS q FROM cs)
+SELECT vec_id AS id, ref AS best, round(sim, 6) AS sim FROM b WHERE q = 1 AND sim > 0.15""")
+def q_m31(spark, d):
+    e = _emb(spark, d)
+    refs = M.centroids(e, "label", "vec").withColumnRenamed("label", "ref")
+    out = M.nearest_reference(e, refs, key="id", vec="vec", ref_key="ref", ref_vec="vec", min_sim=0.15)
+    return out.select("id", "best", r("sim", "sim"))
+
+
+@query("m25_inne_anomaly")
+def q_m25(spark, d):
+    e = _emb(spark, d)
+    sph = M.fit_inne(e, "id", "vec", t=20, psi=8, seed=3)
+    return M.score_inne(e, sph, "id", "vec", t=20)
+
+
+def _doc_features(spark, d):
+    docs = V.table(spark, d, "documents")
+    lab = V.table(spark, d, "labels")
+    f = docs.join(lab, "doc_id").select("doc_id", F.log1p("n_chars").alias("len"),
+                                         (F.col("lang") == "en").cast("double").alias("is_en"),
+                                         F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"),
+                                         F.col("quality").cast("double").alias("label"))
+    return f
+
+
+@query("m26_m28_classifiers")
+def q_m26(spark, d):
+    f = _doc_features(spark, d)
+    model = M.fit_classifier(f, ["len", "is_en", "digits"], "label", kind="gbt", seed=3)
+    return model.transform(f).select("doc_id", F.col("prediction").alias("predicted"))
+
+
+@query("m29_m30_cross_validate")
+def q_m29(spark, d):
+    f = _doc_features(spark, d)
+    cv = M.cross_validate(f, ["len", "is_en", "digits"], "label", k=3, seed=3, grid={"regParam": [0.0, 0.1, 1.0]})
+    return spark.createDataFrame([(float(m),) for m in cv.avgMetrics], "auc double")
+
+
+@query("m27_linear_score", """
+WITH f AS (SELECT doc_id, 'lang_' || lang AS feature, 1.0 AS value FROM documents
+           UNION ALL SELECT doc_id, 'src_' || source, 1.0 FROM documents
+           UNION ALL SELECT doc_id, 'len', ln(1 + n_chars) / 10.0 FROM documents),
+fn AS (SELECT DISTINCT feature FROM f UNION ALL SELECT 'constant'),
+w AS (SELECT c.cls, fn.feature, (CAST(('0x' || substr(md5(c.cls || '|' || fn.feature), 1, 4)) AS BIGINT) % 200 - 100) / 100.0 AS weight
+      FROM fn, (VALUES ('q0'), ('q1')) c(cls)),
+s AS (SELECT f.doc_id, w.cls, SUM(f.value * w.weight) AS s FROM f JOIN w ON f.feature = w.feature GROUP BY ALL),
+p AS (SELECT s.doc_id, s.cls, 1.0 / (1.0 + exp(-(s.s + COALESCE(k.weight, 0.0)))) AS p FROM s LEFT JOIN (SELECT cls, weight FROM w WHERE feature = 'constant') k ON s.cls = k.cls)
+SELECT doc_id AS id, cls, round(p / SUM(p) OVER (PARTITION BY doc_id), 6) AS prob FROM p""")
+def q_m27(spark, d):
+    docs = V.table(spark, d, "documents")
+    f = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("lang_"), "lang").alias("feature"), F.lit(1.0).alias("value")) \
+        .unionByName(docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("src_"), "source").alias("feature"), F.lit(1.0).alias("value"))) \
+        .unionByName(docs.select(F.col("doc_id").alias("id"), F.lit("len").alias("feature"), (F.log(1 + F.col("n_chars")) / 10.0).alias("value")))
+    names = f.select("feature").distinct().unionByName(spark.createDataFrame([("constant",)], "feature string"))
+    wt = (F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "cls", "feature")), 1, 4), 16, 10).cast("bigint"), F.lit(200)) - 100) / 100.0
+    weights = names.select("feature", F.explode(F.array(F.lit("q0"), F.lit("q1"))).alias("cls")) \
+        .select("cls", "feature", wt.alias("weight"))
+    out = M.linear_score(f, weights, ["q0", "q1"])
+    return out.select("id", "cls", r("prob", "prob"))
+
+
+@query("m33_explain_features")
+def q_m33(spark, d):
+    f = _doc_features(spark, d)
+    model = M.fit_classifier(f, ["len", "is_en", "digits"], "label", kind="logistic", seed=3)
+    return M.explain_features(f.select("doc_id", "len", "is_en", "digits"), model, ["len", "is_en", "digits"], "doc_id", n=5)
