@@ -149,12 +149,20 @@ def vector_lines(vectors: DataFrame, key: str, vec: str, sep: str = "|") -> Data
                                       F.transform(vec, lambda x: F.format_string("%.6f", x.cast("double")))).alias("value"))
 
 
-def refresh_table(df: DataFrame, name: str) -> DataFrame:
-    """Write the new version to a staging table, then swap it in."""
+def refresh_table(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Write the new version to its own folder, then point the
+    (external) table at it: readers see the old or the new version, never a
+    partial one, and the old files stay for in-flight readers."""
+    import uuid
+    from cairn.session import ensure_checkpoint_dir
     spark = df.sparkSession
-    df.write.mode("overwrite").saveAsTable(f"{name}__staging")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {name}__staging RENAME TO {name}")
+    path = f"{base or ensure_checkpoint_dir(spark) + '/tables'}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.catalog.createTable(name, path=path, source="parquet")
     return spark.table(name)
 
 
