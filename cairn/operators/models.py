@@ -249,6 +249,20 @@ def random_index_vectors(doc_terms: DataFrame, dim: int = 64, seeds: int = 4, se
     return docs, terms
 
 
+def project_weights(weights: DataFrame, key: str, term: str, weight: str, dim: int = 64, seeds: int = 4,
+                    seed: int = 1) -> DataFrame:
+    """Random projection of sparse (key, term, weight) rows onto
+    ``dim`` dimensions with hashed ternary index vectors; (key, vec array)."""
+    spots = [F.struct(F.pmod(F.xxhash64(F.col(term), F.lit(seed * 1000 + i)), F.lit(dim)).alias("dim"),
+                      F.when(F.pmod(F.xxhash64(F.col(term), F.lit(seed * 7777 + i)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v"))
+             for i in range(seeds)]
+    e = weights.select(key, weight, F.explode(F.array(*spots)).alias("_e"))
+    s = e.groupBy(key, F.col("_e.dim").alias("dim")).agg(F.sum(F.col(weight) * F.col("_e.v")).alias("value"))
+    m = s.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))  # <= dim entries
+    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                     lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0))).alias("vec"))
+
+
 # ----------------------------------------------------------- anomaly (iNNE)
 
 def _dist(metric: str):

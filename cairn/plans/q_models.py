@@ -143,7 +143,7 @@ def _emb(spark, d):
 
 @query("m13_vector_neighbours")
 def q_m13(spark, d):
-    out = M.vector_neighbours(_emb(spark, d), 5)
+    out = M.vector_neighbours(_emb(spark, d), 5, bucket_length=0.4, tables=6, max_dist=1.0)
     return out.select("id", "other", r("sim", "sim"), "rank")
 
 
@@ -177,12 +177,13 @@ def q_m16(spark, d):
 
 @query("m17_doc_similarity")
 def q_m17(spark, d):
-    docs, _ = M.random_index_vectors(_doc_terms(spark, d), dim=64)
-    vec = docs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
-    dense = vec.select(F.col("doc_id").alias("id"),
-                       F.transform(F.sequence(F.lit(0), F.lit(63)),
-                                   lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0))).alias("vec"))
-    return M.vector_neighbours(dense, 5).select("id", "other", r("sim", "sim"), "rank")
+    """tf-idf weights projected on random ternary index vectors (64 dims),
+    then LSH neighbours (cosine >= 0.68) and the 5 best per document."""
+    docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
+    w = FE.tfidf(docs, "doc_id", "toks", min_df=2, max_df=0.5)
+    proj = M.project_weights(w, "doc_id", "term", "weight", dim=64)
+    return M.vector_neighbours(proj.withColumnRenamed("doc_id", "id"), 5, bucket_length=0.15, tables=4, max_dist=0.8) \
+        .select("id", "other", r("sim", "sim"), "rank")
 
 
 @query("m31_predict_rating", """

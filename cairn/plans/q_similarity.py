@@ -14,7 +14,7 @@ def r(c, name):
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
 
 
-THRESH, LIMIT, CHUNK = 0.05, 20, 30   # small chunk so the grid path runs on the test tables
+THRESH, LIMIT, CHUNK = 0.05, 20, 64   # small chunk so the grid path also runs on the test tables
 
 M1_CTES = W("actions", "item_tag") + f""",
 p AS (SELECT DISTINCT user_id, item_id FROM actions),
