@@ -92,3 +92,20 @@ def user_tag_counts(actions: DataFrame, item_tag: DataFrame, min_actions: int,
     """(user, tag, n) for users with at least ``min_actions`` actions."""
     _, tags = _tag_rows(actions, item_tag, min_actions, user, item)
     return tags.groupBy(user, "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def doc_vectors(tokens: DataFrame, vocab_size: int, key="doc_id", term="term") -> DataFrame:
+    """vocabulary = the ``vocab_size`` most frequent terms (ties by
+    term), indexed from 0; documents as (doc, term_index, count) rows."""
+    from cairn.operators.ranking import global_top
+    counts = tokens.groupBy(term).agg(F.count(F.lit(1)).alias("_n"))
+    vocab = global_top(counts, [F.desc("_n"), F.asc(term)], vocab_size) \
+        .withColumn("term_index", (F.row_number().over(Window.orderBy(F.desc("_n"), F.asc(term))) - 1).cast("int"))
+    return tokens.join(F.broadcast(vocab.select(term, "term_index")), term) \
+        .groupBy(key, "term_index").agg(F.count(F.lit(1)).alias("count"))
+
+
+def class_ids(df: DataFrame, target: str, out: str = "class_id") -> DataFrame:
+    """Distinct target labels with dense ids from 1 (ordered by label)."""
+    from cairn.functions.ids import dense_index
+    return dense_index(df.select(target).filter(F.col(target).isNotNull()).distinct(), [target], out)

@@ -397,3 +397,14 @@ def explain_features(rows: DataFrame, model, features: Sequence[str], key: str,
     names = F.array(*[F.lit(c) for c in feats])
     return j.groupBy(key, "_f").agg(F.avg("_imp").alias("importance")) \
         .select(key, F.element_at(names, F.col("_f") + 1).alias("feature"), "importance")
+
+
+def search_vectors(items: DataFrame, queries: DataFrame, k: int, key="id", vec="vec", query_key="query",
+                   query_vec="vec") -> DataFrame:
+    """The k items most similar (cosine) to each query vector of a
+    bounded, size-checked query set; (query, item, sim, rank)."""
+    arr = _checked_array(queries.select(F.col(query_key).alias("q"), as_double_array(query_vec).alias("v")))
+    v = as_double_array(vec)
+    sims = F.transform(arr, lambda r: F.struct(r["q"].alias("q"), cosine(v, r["v"]).alias("s")))
+    ex = items.select(key, F.explode(sims).alias("_x")).select(F.col("_x.q").alias(query_key), key, F.col("_x.s").alias("sim"))
+    return top_k(ex, [query_key], [F.desc("sim"), F.asc(key)], k)

@@ -29,5 +29,5 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the modules registers their queries.
     from cairn.plans import (q_basic, q_sessions, q_reports, q_similarity,  # noqa: F401
                              q_counts, q_recommend, q_features, q_models,
-                             q_graph, q_catalog, q_streaming, q_sources, q_rules)
+                             q_graph, q_catalog, q_streaming, q_sources, q_rules, q_more)
     return REGISTRY
