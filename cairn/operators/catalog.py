@@ -110,3 +110,26 @@ def with_both_dims(df: DataFrame, item_dim: DataFrame, dims: Sequence[int], dim2
     a = item_dim.filter(F.col("dim_id").isin(list(dims))).select(item).distinct()
     b = item_dim.filter(F.col("dim_id") == dim2).select(item).distinct()
     return df.join(a, item, "left_semi").join(b, item, "left_semi")
+
+
+def join_items(actions: DataFrame, items: DataFrame, key="item_id") -> DataFrame:
+    """Inner equi-join of actions with item attributes (AQE picks
+    broadcast or sort-merge from runtime sizes)."""
+    return actions.join(items, key)
+
+
+def lookup(df: DataFrame, small: DataFrame, on, max_rows: int = 1_000_000) -> DataFrame:
+    """Map-side lookup: the small side is broadcast only after its row
+    count is checked against ``max_rows``; otherwise a shuffled join."""
+    n = small.count()
+    return df.join(F.broadcast(small) if n <= max_rows else small, on)
+
+
+def without(df: DataFrame, other: DataFrame, on) -> DataFrame:
+    """Rows of ``df`` with no match in ``other`` (anti join)."""
+    return df.join(other, on, "left_anti")
+
+
+def only(df: DataFrame, other: DataFrame, on) -> DataFrame:
+    """Rows of ``df`` with a match in ``other`` (semi join)."""
+    return df.join(other, on, "left_semi")

@@ -296,3 +296,18 @@ def candidates(kind: str, actions: DataFrame | None = None, items: DataFrame | N
 
 def weights_table(spark, mapping: Mapping[str, float], key: str, value: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in mapping.items()], f"{key} string, {value} double")
+
+
+def recommend(strategy: Sequence[tuple[str, DataFrame]], n: int, combiner: str = "first") -> DataFrame:
+    """Strategy cascade: algorithms in order, each a (user, item, score)
+    frame; combined per user by the first algorithm with enough results
+    (``first``), rank sums (``rank_sum``) or best scores (``score``)."""
+    sets = None
+    for order, (name, recs) in enumerate(strategy):
+        s = recs.select("user_id", "item_id", "score").withColumn("alg", F.lit(name)).withColumn("alg_order", F.lit(order))
+        sets = s if sets is None else sets.unionByName(s)
+    if combiner == "rank_sum":
+        return combine_rank_sum(sets, n)
+    if combiner == "score":
+        return combine_score(sets, n)
+    return combine_first(sets, n)

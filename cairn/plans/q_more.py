@@ -115,3 +115,86 @@ def q_m32(spark, d):
         return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0))).alias("vec"))
     out = M.search_vectors(dense(dv, "doc_id").withColumnRenamed("doc_id", "id"), dense(qv, "lang").withColumnRenamed("lang", "query"), 5)
     return out.select("query", "id", r("sim", "sim"), "rank")
+
+
+@query("j1_join_items", W("actions", "item_tags") + """
+SELECT a.user_id, a.item_id, a.order_key, a.line_no, t.tags FROM actions a JOIN item_tags t ON a.item_id = t.item_id WHERE a.type = 3""")
+def q_j1(spark, d):
+    from cairn.operators.catalog import join_items
+    a = V.actions(spark, d).filter("type = 3").select("user_id", "item_id", "order_key", "line_no")
+    return join_items(a, V.item_tags(spark, d))
+
+
+@query("j2_broadcast_lookup", W("actions", "dimensions", "item_dim") + """
+SELECT a.order_key, a.line_no, a.item_id, d.value AS brand FROM actions a JOIN item_dim i ON a.item_id = i.item_id
+JOIN dimensions d ON d.dim_id = i.dim_id WHERE i.attr = 'brand'""")
+def q_j2(spark, d):
+    from cairn.operators.catalog import lookup
+    idim = V.item_dim(spark, d).filter("attr = 'brand'").select("item_id", "dim_id")
+    dims = V.dimensions(spark, d).select("dim_id", F.col("value").alias("brand"))
+    a = V.actions(spark, d).select("order_key", "line_no", "item_id")
+    return lookup(lookup(a, idim, "item_id"), dims, "dim_id").select("order_key", "line_no", "item_id", "brand")
+
+
+@query("j4_j5_anti_semi", W("actions") + """
+SELECT DISTINCT user_id, item_id, 'without' AS kind FROM actions a WHERE type = 1
+  AND NOT EXISTS (SELECT 1 FROM actions b WHERE b.type = 3 AND b.user_id = a.user_id AND b.item_id = a.item_id)
+UNION ALL SELECT DISTINCT user_id, item_id, 'only' FROM actions a WHERE type = 1
+  AND EXISTS (SELECT 1 FROM actions b WHERE b.type = 3 AND b.user_id = a.user_id AND b.item_id = a.item_id)""")
+def q_j45(spark, d):
+    from cairn.operators.catalog import only, without
+    a = V.actions(spark, d)
+    t1 = a.filter("type = 1").select("user_id", "item_id").distinct()
+    t3 = a.filter("type = 3").select("user_id", "item_id")
+    return without(t1, t3, ["user_id", "item_id"]).withColumn("kind", F.lit("without")) \
+        .unionByName(only(t1, t3, ["user_id", "item_id"]).withColumn("kind", F.lit("only")))
+
+
+@query("j6_co_occurring_pairs", """
+WITH p AS (SELECT DISTINCT o.o_custkey AS u, p.p_brand AS b FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+           JOIN part p ON p.p_partkey = l.l_partkey)
+SELECT a.b AS item1, b.b AS item2, COUNT(*) AS co FROM p a JOIN p b ON a.u = b.u AND a.b < b.b GROUP BY ALL""")
+def q_j6(spark, d):
+    from cairn.operators.similarity import co_occurrence
+    a = V.actions(spark, d).select("user_id", "item_id")
+    p = V.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("brand"))
+    ub = a.join(p, "item_id").select("user_id", F.col("brand").alias("item_id")).distinct()
+    return co_occurrence(ub, chunk=8)
+
+
+@query("w8_top_k", """
+WITH x AS (SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer)
+SELECT c_nationkey, c_custkey, c_acctbal, rank FROM x WHERE rank <= 3""")
+def q_w8(spark, d):
+    from cairn.operators.ranking import top_k
+    c = V.table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    return top_k(c, ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
+
+
+@query("r14_strategy_cascade", W("actions") + """,
+pop AS (SELECT item_id, COUNT(*) AS score FROM actions GROUP BY item_id),
+us AS (SELECT DISTINCT user_id FROM actions),
+c1 AS (SELECT us.user_id, pop.item_id, pop.score FROM us, pop
+       WHERE NOT EXISTS (SELECT 1 FROM actions a WHERE a.user_id = us.user_id AND a.item_id = pop.item_id)),
+r1 AS (SELECT user_id, item_id, score / max(score) OVER (PARTITION BY user_id) AS score FROM
+       (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM c1) WHERE rank <= 5),
+st AS (SELECT user_id, item_id, CAST(SUM(COALESCE(least(CASE type WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 END * n,
+            CASE type WHEN 1 THEN 3.0 WHEN 2 THEN 1.0 END), 0.0)) AS DOUBLE) AS score
+       FROM (SELECT user_id, item_id, type, COUNT(*) AS n FROM actions GROUP BY ALL) GROUP BY user_id, item_id),
+st2 AS (SELECT * FROM st WHERE score > 0 AND item_id % 3 = 0),
+rs AS (SELECT user_id, 'static' AS alg, 0 AS alg_order, item_id, score FROM st2 UNION ALL
+       SELECT user_id, 'popular', 1, item_id, score FROM r1),
+sz AS (SELECT user_id, alg, alg_order, COUNT(*) AS k FROM rs GROUP BY ALL),
+pk AS (SELECT user_id, alg FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN k >= 5 THEN 0 ELSE 1 END,
+        CASE WHEN k >= 5 THEN alg_order ELSE -k END, alg_order) AS q FROM sz) WHERE q = 1),
+ch AS (SELECT rs.* FROM rs JOIN pk ON rs.user_id = pk.user_id AND rs.alg = pk.alg),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM ch)
+SELECT user_id, alg, item_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 5""")
+def q_r14(spark, d):
+    from cairn.operators import popularity as POP
+    a = V.actions(spark, d)
+    static = POP.action_ratings(a, {1: (1.0, 3.0), 2: (0.5, 1.0)}).withColumnRenamed("rating", "score") \
+        .filter("score > 0 and item_id % 3 = 0")
+    pop = RC.recommend_popular(a, a.select("user_id"), 5)
+    out = RC.recommend([("static", static), ("popular", pop)], 5, "first")
+    return out.select("user_id", "alg", "item_id", r("score", "score"), "rank")
