@@ -71,16 +71,19 @@ def rating_stats(actions: DataFrame, by: str = "item_id", value="value") -> Data
                                    F.count(F.lit(1)).alias("n"))
 
 
-def attribute_clicks(shown: DataFrame, clicks: DataFrame, user="user_id", order=("t_us", "event_id")) -> DataFrame:
+def attribute_clicks(shown: DataFrame, clicks: DataFrame, user="user_id", order=("t_us", "event_id"),
+                     bucket_width: float | None = 86400e6) -> DataFrame:
     """Each click is attributed to the latest list shown to the user
     before it: the clicked item's position in that list (null when absent),
-    the list's algorithm (rectag) and variation (abkey)."""
+    the list's algorithm (rectag) and variation (abkey). The as-of lookup is
+    bucketed by time (``sequence.carry_forward``) so a hot user is split."""
     s = shown.select(user, *order, F.struct("event_id", "recommendations", "rectag", "abkey").alias("_list"),
                      F.lit(None).cast("bigint").alias("clicked"))
     c = clicks.select(user, *order, F.lit(None).cast("struct<event_id:bigint,recommendations:string,rectag:string,abkey:string>").alias("_list"),
                       F.col("item_id").alias("clicked"))
-    w = Window.partitionBy(user).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    u = s.unionByName(c).withColumn("_last", F.last("_list", ignorenulls=True).over(w))
+    from cairn.operators.sequence import carry_forward, time_bucket
+    b = time_bucket(order[0], bucket_width) if bucket_width else None
+    u = carry_forward(s.unionByName(c), [user], list(order), "_list", "_last", b)
     k = u.filter(F.col("clicked").isNotNull() & F.col("_last").isNotNull())
     pos = F.array_position(F.split(F.col("_last.recommendations"), ":"), F.col("clicked").cast("string"))
     return k.select(user, F.col("event_id").alias("click_id"), F.col("_last.event_id").alias("list_id"), "clicked",

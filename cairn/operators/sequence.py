@@ -106,3 +106,26 @@ def ordered_ngrams(df: DataFrame, key: str, order: Sequence[str], token: str, n:
         cur = cur.join(nxt, [key, "pos"]).select(key, "pos", F.concat("gram", F.array("_nx")).alias("gram"))
         grams = grams.unionByName(cur.select(key, "pos", F.lit(i + 1).alias("n"), "gram"))
     return grams
+
+
+def carry_forward(df: DataFrame, key: Sequence[str], order: Sequence[str], col: str, out: str,
+                  bucket: Column | None = None) -> DataFrame:
+    """``out`` = the last non-null ``col`` on an earlier row of the key (an
+    as-of lookup). Bucketed like ``with_prev``: within (key, bucket) a
+    window, across buckets the last non-null value of each earlier bucket."""
+    key = list(key)
+    prev_rows = Window.unboundedPreceding, -1
+    if bucket is None:
+        w = Window.partitionBy(*key).orderBy(*_cols(order)).rowsBetween(*prev_rows)
+        return df.withColumn(out, F.last(col, ignorenulls=True).over(w))
+    df = df.withColumn("_b", bucket)
+    wb = Window.partitionBy(*key, "_b").orderBy(*_cols(order)).rowsBetween(*prev_rows)
+    df = df.withColumn(out, F.last(col, ignorenulls=True).over(wb))
+    tail = df.filter(F.col(col).isNotNull()).groupBy(*key, "_b").agg(
+        F.max_by(F.col(col), F.struct(*_cols(order))).alias("_lb"))
+    # one row per (key, bucket): the latest non-null value of the earlier buckets
+    buckets = df.select(*key, "_b").distinct().join(tail, key + ["_b"], "left")
+    buckets = buckets.withColumn("_carry", F.last("_lb", ignorenulls=True).over(
+        Window.partitionBy(*key).orderBy("_b").rowsBetween(*prev_rows))).select(*key, "_b", "_carry")
+    return df.join(buckets, key + ["_b"], "left") \
+        .withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_b", "_carry")

@@ -54,8 +54,9 @@ def session_metrics(imps: DataFrame, gap_us: int, max_pv: int = 50, user="user_i
         F.min_by("abkey", first).alias("abkey"))
     per = per.withColumn("secs", F.when(F.col("secs") == 0, 1).otherwise(F.col("secs")).cast("bigint"))
     kept = per.filter(F.col("pv") <= max_pv)
-    w = Window.partitionBy(user).orderBy("session_no")
-    kept = kept.withColumn("first", F.when(F.row_number().over(w) == 1, 1).otherwise(0))
+    first_kept = kept.groupBy(user).agg(F.min("session_no").alias("_first"))
+    kept = kept.join(first_kept, user).withColumn(
+        "first", F.when(F.col("session_no") == F.col("_first"), 1).otherwise(0)).drop("_first")
     # users whose events carry more than one variation are dropped
     bad = imps.groupBy(user).agg(F.count_distinct("abkey").alias("_k")).filter("_k > 1").select(user)
     # consumer / abkey of the user's first event
@@ -124,7 +125,10 @@ def history_features(actions: DataFrame, item_tags: DataFrame, start: int, max_n
     by ``u_<tag>`` features of all earlier actions (or only the previous one)."""
     j = actions.join(item_tags.select(item, tokenize_tags("tags").alias("_tags")), item)
     w = Window.partitionBy(user).orderBy(*seq)
-    j = j.withColumn("c", F.row_number().over(w) - 1).filter(F.col("c") <= max_n)
+    # only the first max_n + 1 actions of a user matter: a WindowGroupLimit
+    # keeps them map-side, so the history windows below see bounded groups
+    from cairn.operators.ranking import top_k
+    j = top_k(j, [user], list(seq), max_n + 1, rank_col="_k").withColumn("c", (F.col("_k") - 1).cast("int")).drop("_k")
     if only_prev:
         hist = F.coalesce(F.lag("_tags").over(w), F.array().cast("array<string>"))
     else:
@@ -140,8 +144,8 @@ def recent_interactions(actions: DataFrame, recent: int, n: int, user="user_id",
     """The user's ``recent`` most recent distinct items score recent,
     recent-1, ...; the top ``n`` are rescaled by the maximum."""
     last = actions.groupBy(user, item).agg(F.max(F.struct(*[F.col(o) for o in order])).alias("_last"))
-    w = Window.partitionBy(user).orderBy(F.desc("_last"), F.desc(item))
-    r = last.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= recent)
+    from cairn.operators.ranking import top_k
+    r = top_k(last, [user], [F.desc("_last"), F.desc(item)], recent, rank_col="_pos")
     r = r.withColumn("_len", F.count(F.lit(1)).over(Window.partitionBy(user)))
     r = r.withColumn("score", (F.col("_len") - F.col("_pos") + 1).cast("double")).filter(F.col("_pos") <= n)
     return r.select(user, item, (F.col("score") / F.col("_len")).alias("score"))
