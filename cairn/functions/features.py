@@ -340,3 +340,27 @@ def tag_feature_lines(actions: DataFrame, item_tags: DataFrame, affinity: DataFr
 def cyclic(col, period: float) -> tuple[Column, Column]:
     ang = F.lit(2 * math.pi) * col / F.lit(period)
     return F.sin(ang), F.cos(ang)
+
+
+def history_tfidf_lines(lines: DataFrame, keys: Sequence[str], line: str = "line", min_doc_freq: int = 1,
+                        max_user_features: int = 10) -> tuple[DataFrame, DataFrame]:
+    """tf-idf over the feature lines of W5/W6 (exact terms): idf =
+    ln((m + 1) / (df + 1)) with m lines, 0 below ``min_doc_freq``; output
+    "1 |i <i_f:w ...> |u <u_f:w ...>" with item features in line order and at
+    most max_user_features + 1 user features in ascending tf-idf (ties by
+    name). Returns (lines, idf table)."""
+    keys = list(keys)
+    tok = lines.select(*keys, F.posexplode(F.split(line, " ")).alias("pos", "term")).filter(F.col("term") != "")
+    tf = tok.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    m = lines.agg(F.count(F.lit(1))).scalar()
+    dfq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = dfq.select("term", F.when(F.col("df") >= min_doc_freq, F.log((m + F.lit(1.0)) / (F.col("df") + 1.0)))
+                     .otherwise(F.lit(0.0)).alias("idf"))
+    w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    fmt = lambda x: F.concat(x["term"], F.lit(":"), F.format_string("%.6f", x["w"]))
+    g = w.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("term").startswith("i_"), F.struct("pos", "term", "w")))).alias("_i"),
+        F.array_sort(F.collect_list(F.when(F.col("term").startswith("u_"), F.struct("w", "term")))).alias("_u"))
+    out = g.select(*keys, F.concat(F.lit("1 |i "), F.concat_ws(" ", F.transform("_i", fmt)), F.lit(" |u "),
+                                   F.concat_ws(" ", F.transform(F.slice("_u", 1, max_user_features + 1), fmt))).alias("features"))
+    return out, idf

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.ranking import exclude_seen, top_k
+from cairn.session import reuse
 
 
 def user_item_pairs(actions: DataFrame, min_items_per_user: int = 0, min_users_per_item: int = 0,
@@ -43,7 +44,7 @@ def co_occurrence(pairs: DataFrame, chunk: int = 2000, key="user_id", item="item
     sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
     p = pairs.join(sizes, keys).withColumn(
         "_s", F.greatest(F.lit(1), F.ceil(F.col("_len") / F.lit(chunk))).cast("int"))
-    p = p.withColumn("_c", F.pmod(F.xxhash64(F.col(item)), F.col("_s")).cast("int"))
+    p = reuse(p.withColumn("_c", F.pmod(F.xxhash64(F.col(item)), F.col("_s")).cast("int")))  # both grid sides
     grid = F.sequence(F.lit(0), F.col("_s") - 1)
     left = p.select(*keys, *[c for c in grp if c not in keys], F.col("_c").alias("_a"),
                     F.explode(grid).alias("_b"), F.col(item).alias("item1"))
@@ -58,7 +59,7 @@ def item_similarity(actions: DataFrame, limit: int = 100, threshold: float = 0.0
                     user="user_id", item="item_id") -> DataFrame:
     """M1: exact cosine of binary user vectors, |A n B| / sqrt(|A| |B|),
     for item1 < item2 with sim >= threshold; the ``limit`` best item2 per item1."""
-    p = user_item_pairs(actions, min_items_per_user, min_users_per_item, max_users_per_item, user, item)
+    p = reuse(user_item_pairs(actions, min_items_per_user, min_users_per_item, max_users_per_item, user, item))
     n = p.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
     co = co_occurrence(p, chunk, user, item)
     s = co.join(n.select(F.col(item).alias("item1"), F.col("_n").alias("_n1")), "item1") \

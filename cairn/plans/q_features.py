@@ -174,3 +174,41 @@ def q_f5(spark, d):
     a = V.actions(spark, d)
     aff = AF.user_tag_affinity(a, V.item_tag(spark, d), 10, 4, 0.2, 5)
     return FE.tag_feature_lines(a, V.item_tags(spark, d), aff)
+
+
+F4_SQL = W("actions", "item_tags") + """,
+j AS (SELECT a.*, string_split(it.tags, ',') AS tg FROM actions a JOIN item_tags it ON a.item_id = it.item_id),
+c AS (SELECT *, row_number() OVER w - 1 AS c, flatten(list(tg) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS hist FROM j
+      WINDOW w AS (PARTITION BY user_id ORDER BY t, order_key, line_no, item_id)),
+ln AS (SELECT user_id, item_id, c, array_to_string(list_concat(list_transform(tg, lambda x: 'i_' || x),
+       list_transform(COALESCE(hist, []), lambda x: 'u_' || x)), ' ') AS line FROM c WHERE c >= 1 AND c <= 10),
+tk AS (SELECT user_id, c, u.term, u.pos FROM ln, LATERAL (SELECT unnest(string_split(line, ' ')) AS term,
+       generate_subscripts(string_split(line, ' '), 1) AS pos) u WHERE u.term <> ''),
+tf AS (SELECT user_id, c, term, COUNT(*) AS tf, min(pos) AS pos FROM tk GROUP BY ALL),
+m AS (SELECT COUNT(*) AS m FROM ln),
+idf AS (SELECT term, CASE WHEN COUNT(*) >= 2 THEN ln(((SELECT m FROM m) + 1.0) / (COUNT(*) + 1.0)) ELSE 0.0 END AS idf FROM tf GROUP BY term),
+w AS (SELECT tf.*, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term),
+ui AS (SELECT user_id, c, string_agg(term || ':' || printf('%.6f', w), ' ' ORDER BY pos) AS ip FROM w WHERE starts_with(term, 'i_') GROUP BY ALL),
+uu AS (SELECT user_id, c, string_agg(term || ':' || printf('%.6f', w), ' ' ORDER BY w, term) AS up FROM
+       (SELECT *, row_number() OVER (PARTITION BY user_id, c ORDER BY w, term) AS q FROM w WHERE starts_with(term, 'u_')) WHERE q <= 4 GROUP BY ALL),
+keys AS (SELECT DISTINCT user_id, c FROM w)"""
+
+
+def _f4(spark, d):
+    from cairn.operators import sessions as SS
+    lines = SS.history_features(V.actions(spark, d), V.item_tags(spark, d), 1, 10, seq=("t", "order_key", "line_no", "item_id"))
+    return FE.history_tfidf_lines(lines, ["user_id", "c"], min_doc_freq=2, max_user_features=3)
+
+
+@query("f4_history_tfidf_lines", F4_SQL + """
+SELECT k.user_id, CAST(k.c AS INTEGER) AS c, '1 |i ' || COALESCE(ui.ip, '') || ' |u ' || COALESCE(uu.up, '') AS features
+FROM keys k LEFT JOIN ui ON k.user_id = ui.user_id AND k.c = ui.c LEFT JOIN uu ON k.user_id = uu.user_id AND k.c = uu.c""")
+def q_f4(spark, d):
+    out, _ = _f4(spark, d)
+    return out
+
+
+@query("f4_idf_table", F4_SQL + "\nSELECT term, round(idf, 6) AS idf FROM idf")
+def q_f4i(spark, d):
+    _, idf = _f4(spark, d)
+    return idf.select("term", r("idf", "idf"))

@@ -64,3 +64,10 @@ def cut_lineage(df):
     executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def reuse(df):
+    """Keep an intermediate that a plan reads several times (memory, spilling
+    to disk); lost blocks are recomputed from lineage."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
