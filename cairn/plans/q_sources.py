@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.plans import views as V
@@ -87,7 +88,7 @@ def _eav(spark, d):
                                    (4, "price", 1, "double")], "attr_id int, name string, type_id int, kind string")
     types = p.select(F.col("p_type").alias("value_name")).distinct()
     enum_vals = types.select(F.lit(3).alias("attr_id"), "value_name",
-                             F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("value_name")).alias("value_id"))
+                             F.dense_rank().over(Window.orderBy("value_name")).alias("value_id"))  # bounded: distinct enum values
     typed = {
         "varchar": p.select(F.col("p_partkey").alias("item_id"), F.lit(1).alias("attr_id"), F.col("p_brand").alias("value")),
         "int": p.filter("p_size > 10").select(F.col("p_partkey").alias("item_id"), F.lit(2).alias("attr_id"), F.col("p_size").alias("value")),

@@ -4,6 +4,7 @@ import math
 import random
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from cairn.operators import popularity as POP
 from cairn.operators import sessions as SS
@@ -41,7 +42,7 @@ def test_running_sum_and_prev(spark, ev):
     df = spark.createDataFrame([(u, t, i) for i, (u, t, it) in enumerate(ev)], "user_id long, t long, seq long")
     got = {r["seq"]: (r["pos"], r["prev_t"]) for r in
            running_sum(with_prev(df, ["user_id"], ["t", "seq"], ["t"], time_bucket("t", 13)), ["user_id"], ["t", "seq"],
-                       __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1), "pos", time_bucket("t", 13)).collect()}
+                       F.lit(1), "pos", time_bucket("t", 13)).collect()}
     for u in {e[0] for e in ev}:
         seq = sorted((t, i) for i, (uu, t, _) in enumerate(ev) if uu == u)
         for k, (t, i) in enumerate(seq):
