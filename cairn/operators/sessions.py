@@ -173,14 +173,16 @@ def ngram_model(actions: DataFrame, n: int = 3, user="user_id", item="item_id",
 
 
 def recommend_ngram(model: DataFrame, actions: DataFrame, k: int, user="user_id", item="item_id",
-                    order=("t",)) -> DataFrame:
+                    order=("t",), bucket_width: float | None = None) -> DataFrame:
     """Next-item scores from the n-gram model: for the user's last one
     and last two (consecutive-distinct) items as history, the probabilities
     of every continuation are summed per item; top k by score (ties by item)."""
-    p = with_prev(actions, [user], list(order), [item])
+    from cairn.operators.ranking import top_k
+    b = time_bucket(order[0], bucket_width) if bucket_width else None
+    p = with_prev(actions, [user], list(order), [item], b)
     dedup = p.filter(F.col("prev_" + item).isNull() | (F.col("prev_" + item) != F.col(item))).drop("prev_" + item)
-    w = Window.partitionBy(user).orderBy(*[F.desc(o) for o in order])
-    last2 = dedup.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2)
+    # the last two items per user: a map-side limited top-k, not a full per-user sort
+    last2 = top_k(dedup, [user], [F.desc(o) for o in order], 2, rank_col="_r")
     seq = last2.groupBy(user).agg(F.max_by(F.col(item).cast("string"), F.when(F.col("_r") == 1, 1).otherwise(0)).alias("_x1"),
                                   F.max_by(F.col(item).cast("string"), F.when(F.col("_r") == 2, 1).otherwise(0)).alias("_x2"),
                                   F.count(F.lit(1)).alias("_n"))
@@ -189,5 +191,4 @@ def recommend_ngram(model: DataFrame, actions: DataFrame, k: int, user="user_id"
     j = hists.join(model.select("n", "hist", "gram", "prob"), ["n", "hist"])
     cand = j.select(user, F.element_at(F.split("gram", " "), -1).cast("bigint").alias(item), "prob")
     s = cand.groupBy(user, item).agg(F.sum("prob").alias("score"))
-    from cairn.operators.ranking import top_k
     return top_k(s, [user], [F.desc(F.round("score", 9)), F.asc(item)], k)

@@ -35,7 +35,7 @@ SELECT user_id, item_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 5"
 def q_m21(spark, d):
     c = V.clicks(spark, d)
     model = SS.ngram_model(c, 3, order=("t_us", "event_id"), bucket_width=DAY_US)
-    out = SS.recommend_ngram(model, c, 5, order=("t_us", "event_id"))
+    out = SS.recommend_ngram(model, c, 5, order=("t_us", "event_id"), bucket_width=DAY_US)
     return out.select("user_id", "item_id", r("score", "score"), "rank")
 
 
