@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.session import ensure_checkpoint_dir
@@ -20,11 +20,16 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BLOCK_BYTES = 1 << 20
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the cluster's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the cluster's shared checkpoint folder and
-    read it back: the lineage ends there and lost executors re-read files."""
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: the lineage ends there and lost executors re-read files."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -185,32 +185,5 @@ def filtered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.filter(F.col(id_col).isNotNull()).join(rejected, id_col, "left_anti").select(*docs.columns)
 
 
-def _sql_list(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
-def oracle_sql() -> str:
-    lists = " ".join(f"WHEN '{k}' THEN {_sql_list(v)}" for k, v in FUNCTION_WORDS.items())
-    longest = 1 + max(map(len, FUNCTION_WORDS.values()))
-    ref = {"chars": len(CHAR_CLASSES), "word_bins": longest}
-
-    def sums(bins, total):
-        return "[" + ", ".join(f"sum(floor(coalesce({bins}[{k}], 0) * {SCALE} / {total}))" for k in range(1, ref[bins] + 1)) + "]"
-
-    def js(a, b):
-        terms = (f"list_transform(range(1, len({a}) + 1), lambda i: 0.5 * "
-                 f"(kl({a}[i] / list_sum({a}), {b}[i] / list_sum({b})) + kl({b}[i] / list_sum({b}), {a}[i] / list_sum({a}))))")
-        return f"round(sqrt(greatest(list_sum({terms}), 0.0)), 6)"
-
-    terms = "CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0.0 END"
-    js_chars = js("chars", "ref_chars").replace("kl(", "(SELECT 1) * kl(")
-    del js_chars
-
-    def distance(a, b):
-        def kl(p, q):
-            return terms.replace("p /", f"{p} /").replace("p >", f"{p} >").replace("p * ", f"{p} * ").replace("(p + q)", f"({p} + {q})")
-        p, q = f"({a}[i] / list_sum({a}))", f"({b}[i] / list_sum({b}))"
-        return (f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN round(sqrt(greatest(list_sum(list_transform("
-                f"range(1, len({a}) + 1), lambda i: 0.5 * ({kl(p, q)} + {kl(q, p)}))), 0.0)), 6) END")
-
-    return "TODO"
+def digest(judged: DataFrame) -> DataFrame:
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -4,8 +4,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontaminate, secrets, url_filter
+from cairn.llm import bpe, decontaminate, near_dup, quality, secrets, substring_dedup, token_counts, toxicity, url_filter
+from cairn.llm.common import scratch_path
 from cairn.plans.views import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +19,23 @@ def vocabulary(spark: SparkSession, name: str = VOCABULARY) -> bpe.Codec:
     return bpe.Codec(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents")))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.deduplicated(table(spark, sf_dir, "documents")))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = vocabulary(spark)
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), codec), codec))
@@ -35,5 +54,28 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_round_trip, op7_decontamination, op8_url_filter, op9_secret_scan)}
-ORACLES = {"op7_decontamination": decontaminate.ORACLE_SQL, "op8_url_filter": url_filter.oracle_sql()}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; those under 100 characters go; the rest are
+    revised (digits scrubbed); the last batch is committed twice."""
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    short = F.length(F.coalesce("text", F.lit(""))) < 100
+    path = scratch_path(spark, "token-counts")
+    token_counts.commit(path, "load", token_counts.inserts(docs))
+    token_counts.commit(path, "expire", token_counts.deletes(docs.filter(short)))
+    stay = docs.filter(~short)
+    revised = stay.withColumn("text", token_counts.scrubbed(F.col("text")))
+    for _ in range(2):
+        token_counts.commit(path, "scrub", token_counts.revisions(stay, revised))
+    return token_counts.totals(spark, path, ["load", "expire", "scrub"])
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_quality_rules, op3_substring_dedup, op5_near_duplicates, op6_bpe_round_trip, op7_decontamination,
+    op8_url_filter, op9_secret_scan, op10_token_counts)}
+ORACLES = {
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_near_duplicates": near_dup.ORACLE_SQL,
+    "op7_decontamination": decontaminate.ORACLE_SQL,
+    "op8_url_filter": url_filter.oracle_sql(),
+    "op10_token_counts": token_counts.oracle_sql(),
+}
