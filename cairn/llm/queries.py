@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontaminate, near_dup, quality, secrets, substring_dedup, token_counts, toxicity, url_filter
+from cairn.llm import bpe, decontaminate, near_dup, quality, secrets, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from cairn.llm.common import scratch_path
 from cairn.plans.views import table
 
@@ -32,6 +32,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.deduplicated(table(spark, sf_dir, "documents")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,8 +74,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_quality_rules, op3_substring_dedup, op5_near_duplicates, op6_bpe_round_trip, op7_decontamination,
-    op8_url_filter, op9_secret_scan, op10_token_counts)}
+    op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_suffix_dedup, op5_near_duplicates, op6_bpe_round_trip,
+    op7_decontamination, op8_url_filter, op9_secret_scan, op10_token_counts)}
 ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_near_duplicates": near_dup.ORACLE_SQL,
