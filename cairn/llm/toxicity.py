@@ -39,7 +39,7 @@ TARGETS = frozenset("you your he she they them his her their du sie ihr er tu vo
 NEGATIONS = frozenset("not no never nicht kein keine nie ne pas jamais nunca jamás".split())
 REPORTS = frozenset("said says wrote claimed called quoted sagte schrieb nannte dit écrit dijo escribió llamó".split())
 THREATS = {w: 3.0 for w in "kill hurt destroy burn töten tuer frapper matar golpear".split()}
-DEFAULT_INSULTS = {w: 5.0 for w in "idiot stupid moron scum trash loser pathetic worthless disgusting clown".split()}
+DEFAULT_INSULTS = {"=" + w: 5.0 for w in "idiot stupid moron scum trash loser pathetic worthless disgusting clown".split()}
 
 MAX_LABELLED = 20_000
 MAX_ARCS = 50_000
