@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import keyed_text
+from cairn.llm.common import keyed_text, text_blocks
 
 MAX_STATES = 100_000
 MAX_PIECES = 200_000
@@ -90,7 +90,7 @@ class Transducer:
             return True
         fit = self._fits.get((a, b))
         if fit is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) >= MAX_PIECES:
                 self._fits.clear()
             fit = self._fits[a, b] = merge(a + b, self.ranks) == [a, b]
         return fit
@@ -245,22 +245,22 @@ class Codec:
         return "".join([*out, stream.close()])
 
 
-def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>): the token ids of every text."""
-    def run(batches):
-        for batch in batches:
-            # Lists of one text at a time become compact buffers at once.
-            lengths, values = [0], []
-            for text in batch.column("text"):
-                ids = np.array(codec.encode(text.as_py()), np.int32)
-                values.append(ids)
-                lengths.append(lengths[-1] + len(ids))
-            flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
+def _parts(batches):
+    """The batches in row slices of about a megabyte of text each."""
+    for batch in batches:
+        for rows, _, _ in text_blocks(batch):
+            yield batch.slice(rows.start, rows.stop - rows.start)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+def _encoded(batches, codec: Codec):
+    for batch in _parts(batches):
+        lengths, values = [0], []
+        for text in batch.column("text"):
+            ids = np.array(codec.encode(text.as_py()), np.int32)
+            values.append(ids)
+            lengths.append(lengths[-1] + len(ids))
+        lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(values)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
 
 def _id_arrays(column) -> list[np.ndarray]:
@@ -269,29 +269,41 @@ def _id_arrays(column) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(off[:-1], off[1:])]
 
 
+def _decoded(batches, codec: Codec):
+    for batch in batches:
+        texts = [codec.decode(ids.tolist()) for ids in _id_arrays(batch.column("ids"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())],
+                                         names=["doc_id", "ids", "decoded"])
+
+
+def _digested(batches):
+    for batch in batches:
+        arrays = _id_arrays(batch.column("ids"))
+        yield pa.RecordBatch.from_arrays([
+            batch.column("doc_id"),
+            pa.array([len(a) for a in arrays], pa.int64()),
+            pa.array([hashlib.sha256(a.astype("<u4").tobytes()).hexdigest() for a in arrays], pa.string()),
+            pa.array([hashlib.sha256((t.as_py() or "").encode()).hexdigest() for t in batch.column("decoded")], pa.string()),
+        ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>): the token ids of every text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return keyed_text(docs, id_col, text_col).mapInArrow(lambda b: _encoded(b, codec), f"doc_id {kind}, ids array<int>")
+
+
 def decode(tokens: DataFrame, codec: Codec) -> DataFrame:
     """(doc_id, ids, decoded): the text of every row's ids."""
-    def run(batches):
-        for batch in batches:
-            texts = [codec.decode(ids.tolist()) for ids in _id_arrays(batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())],
-                                             names=["doc_id", "ids", "decoded"])
-
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
-
-
-def digest(decoded: DataFrame) -> DataFrame:
-    """The columns of the query from ``decode(encode(...))``."""
-    def run(batches):
-        for batch in batches:
-            arrays = _id_arrays(batch.column("ids"))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"),
-                pa.array([len(a) for a in arrays], pa.int64()),
-                pa.array([hashlib.sha256(a.astype("<u4").tobytes()).hexdigest() for a in arrays], pa.string()),
-                pa.array([hashlib.sha256((t.as_py() or "").encode()).hexdigest() for t in batch.column("decoded")], pa.string()),
-            ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return tokens.select("doc_id", "ids").mapInArrow(
+        lambda b: _decoded(b, codec), f"doc_id {kind}, ids array<int>, decoded string")
+
+
+def round_trip_digest(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of the query: both directions and the digests in one pass,
+    so that a task needs one Python worker and ids never leave it."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return keyed_text(docs, id_col, text_col).mapInArrow(
+        lambda b: _digested(_decoded(_encoded(b, codec), codec)),
+        f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -41,8 +41,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codec = vocabulary(spark)
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), codec), codec))
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary(spark))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token digest of every text that is left."""
-    codec = vocabulary(spark)
-    return bpe.digest(bpe.decode(bpe.encode(docs, codec), codec))
+    return bpe.round_trip_digest(docs, vocabulary(spark))
 
 
 STAGES = [
