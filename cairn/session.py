@@ -9,6 +9,7 @@ points. On a cluster the session comes from the platform and only
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,8 +45,8 @@ def get_spark(master: str | None = None, app: str = "cairn",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local tests) create a private scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
+    and all runs in one local process (tests) create a private scratch folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -53,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="cairn-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
