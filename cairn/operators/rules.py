@@ -47,7 +47,7 @@ def assoc_rules(baskets: DataFrame, min_support: float = 0.005, min_confidence:
 
 
 def basket_subsets(baskets: DataFrame, key: str, items: str = "basket") -> DataFrame:
-    """All non-empty subsets (sorted arrays) of baskets of at most 3 items."""
+    """All non-empty subsets (sorted arrays) of small baskets: 2^n - 1 of n items."""
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size(items)).cast("int") - 1)
     b = baskets.select(key, F.array_sort(items).alias("_b"), F.explode(masks).alias("_m"))
     sub = F.expr("filter(_b, (x, i) -> ((_m >> i) & 1) = 1)")  # bit i of the mask selects item i
@@ -57,12 +57,12 @@ def basket_subsets(baskets: DataFrame, key: str, items: str = "basket") -> DataF
 def recommend_assoc(rules: DataFrame, baskets: DataFrame, key="user_id", items="basket",
                     max_basket: int = 3) -> DataFrame:
     """M8: each rule scores confidence * lift * |antecedent|; the basket
-    (most recent first) is cut to ``max_basket`` (<= 3) items; every subset
+    (most recent first) is cut to ``max_basket`` items; every subset
     of it that equals a rule antecedent adds the rule's score to the rule's
     item; scores divided by the user's best. One-item baskets are supported."""
     r = rules.select("antecedent", "consequent",
                      (F.col("confidence") * F.col("lift") * F.size("antecedent")).alias("_s"))
-    cut = baskets.select(key, F.slice(items, 1, min(max_basket, 3)).alias(items))
+    cut = baskets.select(key, F.slice(items, 1, max_basket).alias(items))
     subs = basket_subsets(cut, key, items)
     j = subs.join(r, "antecedent").groupBy(key, "consequent").agg(F.sum("_s").alias("score"))
     return j.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(key)))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,9 @@ def run_to_table(stream: DataFrame, keys: Sequence[str] | None, mode: str = "upd
     q.awaitTermination()
     try:
         res = spark.read.parquet(out_path)
-    except Exception:  # noqa: BLE001 - no batch produced any row
+    except AnalysisException as e:  # no batch came
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":  # every batch re-emits the whole result: keep the last
         res = res.filter(F.col("_batch") == res.agg(F.max("_batch")).scalar())
@@ -163,7 +166,9 @@ def stream_popularity_batch(batch: DataFrame, state_path: str, batch_id: int, no
         return counts.select("item_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("t"))
     try:
         old = spark.read.parquet(f"{state_path}/v={batch_id - 1}")
-    except Exception:  # noqa: BLE001 - first version
+    except AnalysisException as e:  # first version
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         old = spark.createDataFrame([], "item_id long, score double, t long")
     new = update_popularity(old, counts.select("item_id", "count"), int(now), half)
     new.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
