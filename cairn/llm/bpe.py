@@ -43,20 +43,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The definition: merge the neighbours of least rank until none is left.
-    Only used on the few bytes of token pairs."""
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 62))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best:best + 2] = [parts[best] + parts[best + 1]]
-    return parts
+def halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two parts whose merge makes the token: the neighbours of least rank
+    merge until two parts are left. None for a byte, and for a token that the
+    merges alone do not build."""
+    parts = [token[i:i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        pairs = [ranks.get(x + y, 1 << 62) for x, y in zip(parts, parts[1:])]
+        least = min(pairs)
+        if least == 1 << 62:
+            return None
+        at = pairs.index(least)
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
 class Transducer:
-    """Bytes of one piece to token ids. ``_step[(state, byte)]`` gives the next
+    """Bytes of one piece to token ids. ``_step[state * 256 + byte]`` gives the next
     state and the tokens written; ``_flush[state]`` the tokens left at the end.
 
     A state is (last written token, bytes since the earliest open place, open
@@ -67,7 +70,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self._own: dict[bytes, bool] = {}
+        self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._reset()
 
@@ -75,59 +78,78 @@ class Transducer:
         start = (None, b"", ((0, ()),))
         self._states = [start]
         self._ids = {start: 0}
-        self._step: list[dict[int, tuple[int, tuple]]] = [{}]
-        self._flush: list[tuple | None] = [None]
-
-    def _is_own(self, t: bytes) -> bool:
-        """Whether the merges alone build this token."""
-        own = self._own.get(t)
-        if own is None:
-            own = self._own[t] = merge(t, self.ranks) == [t]
-        return own
-
-    def _fit(self, a: bytes | None, b: bytes) -> bool:
-        if a is None:
-            return True
+        self._step: dict[int, tuple[int, tuple]] = {}
+        self._flush: dict[int, tuple] = {}
+
+    def _parts(self, t: bytes) -> tuple[bytes, bytes] | None:
+        try:
+            return self._halves[t]
+        except KeyError:
+            got = self._halves[t] = halves(t, self.ranks)
+            return got
+
+    def _fit(self, a: bytes, b: bytes) -> bool:
+        """Whether the merges leave the two tokens side by side. The merges of
+        both that touch the border are undone, the latest first; the tokens do
+        not fit if the parts at the border would have merged before that. Of
+        equal ranks the left merge comes first."""
         fit = self._fits.get((a, b))
         if fit is None:
             if len(self._fits) >= MAX_PIECES:
                 self._fits.clear()
-            fit = self._fits[a, b] = merge(a + b, self.ranks) == [a, b]
+            x, y, ranks, before = a, b, self.ranks, 1 << 62
+            fit = True
+            while fit := ranks.get(x + y, 1 << 62) >= before:
+                left, right = self._parts(x), self._parts(y)
+                if left is None and right is None:
+                    break
+                if right is None or left is not None and ranks[x] > ranks[y]:
+                    before, x = ranks[x], left[1]
+                else:
+                    before, y = ranks[y] + 1, right[0]
+            self._fits[a, b] = fit
         return fit
 
     def _advance(self, state: int, byte: int) -> tuple[int, tuple]:
         last, tail, places = self._states[state]
         tail += bytes((byte,))
-        end = None
+        ranks, prefixes, n = self.ranks, self.prefixes, len(tail) - 1
+        end, live = None, []
         for back, chain in places:
-            token = tail[len(tail) - back - 1:]
-            if token in self.ranks and self._is_own(token) and self._fit(chain[-1] if chain else last, token):
-                end = chain + (token,)
-                break
+            token = tail[n - back:]
+            if end is None and token in ranks and (back == 0 or self._parts(token)):
+                before = chain[-1] if chain else last
+                if before is None or self._fit(before, token):
+                    end = chain + (token,)
+            if token in prefixes:
+                live.append((back + 1, chain))
         if end is None:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        live = [(back + 1, chain) for back, chain in places if tail[len(tail) - back - 1:] in self.prefixes]
         live.append((0, end))
         # Tokens that every open place shares are settled.
-        shared = 0
-        shortest = min(len(chain) for _, chain in live)
-        while shared < shortest and len({chain[shared] for _, chain in live}) == 1:
-            shared += 1
-        written = end[:shared]
+        written = end
+        for _, chain in live:
+            shared = 0
+            for x, y in zip(chain, written):
+                if x != y:
+                    break
+                shared += 1
+            written = written[:shared]
+            if not shared:
+                break
         if written:
             last = written[-1]
-        live = tuple((back, chain[shared:]) for back, chain in live)
+            shared = len(written)
+            live = [(back, chain[shared:]) for back, chain in live]
+        live = tuple(live)
         if all(chain for _, chain in live):
             last = None
-        longest = max(back for back, _ in live)
-        new = (last, tail[len(tail) - longest:], live)
+        new = (last, tail[n + 1 - live[0][0]:], live)  # the earliest place comes first
         to = self._ids.get(new)
         if to is None:
             to = self._ids[new] = len(self._states)
             self._states.append(new)
-            self._step.append({})
-            self._flush.append(None)
-        out = self._step[state][byte] = (to, tuple(self.ranks[t] for t in written))
+        out = self._step[state << 8 | byte] = (to, tuple([ranks[t] for t in written]))
         return out
 
     def _finish(self, state: int) -> tuple:
@@ -141,15 +163,15 @@ class Transducer:
         if len(self._states) > MAX_STATES:
             self._reset()
         out: list[int] = []
-        state, step = 0, self._step
+        state, step = 0, self._step.get
         for byte in piece:
-            hop = step[state].get(byte)
+            hop = step(state << 8 | byte)
             if hop is None:
                 hop = self._advance(state, byte)
             state, written = hop
             if written:
                 out += written
-        flush = self._flush[state]
+        flush = self._flush.get(state)
         return out + list(flush if flush is not None else self._finish(state))
 
 
