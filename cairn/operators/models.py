@@ -269,11 +269,14 @@ def _dist(metric: str):
     if metric == "chebyshev":
         return lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
     if metric == "kolmogorov":
-        def ks(a, b):
-            ca = F.aggregate(a, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + x)))
-            cb = F.aggregate(b, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + x)))
-            return F.array_max(F.zip_with(ca, cb, lambda x, y: F.abs(x - y)))
-        return ks
+        def dot(a, b):
+            return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+        def overlap(a, b):
+            unit = (F.round(F.sqrt(dot(a, a)), 10) == 1) & (F.round(F.sqrt(dot(b, b)), 10) == 1)
+            return F.when(unit, F.sqrt(F.greatest(1 - F.abs(dot(a, b)), F.lit(0.0)))).otherwise(
+                F.raise_error(F.lit("the kolmogorov metric takes unit vectors only")).cast("double"))
+        return overlap
     return lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
 
 
@@ -363,12 +366,15 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, k: int =
 
 def linear_score(features: DataFrame, weights: DataFrame, classes: Sequence[str], key="id") -> DataFrame:
     """Per class sum(value * weight[class, feature]) + constant, sigmoid,
-    normalised to sum 1 over classes; (key, class, prob)."""
+    normalised to sum 1 over classes; (key, class, prob). A row whose features
+    all lack weights scores by the constants."""
     f = features.select(key, "feature", "value")
+    cells = f.select(key).distinct().withColumn("cls", F.explode(F.array(*[F.lit(c) for c in classes])))
     w = weights.select("cls", "feature", "weight")
     j = f.join(w, "feature").groupBy(key, "cls").agg(F.sum(F.col("value") * F.col("weight")).alias("_s"))
     const = w.filter(F.col("feature") == "constant").select("cls", F.col("weight").alias("_c"))
-    s = j.join(const, "cls", "left").select(key, "cls", (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_s") + F.coalesce("_c", F.lit(0.0)))))).alias("_p"))
+    z = F.coalesce("_s", F.lit(0.0)) + F.coalesce("_c", F.lit(0.0))
+    s = cells.join(j, [key, "cls"], "left").join(const, "cls", "left").select(key, "cls", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("_p"))
     return s.withColumn("prob", F.col("_p") / F.sum("_p").over(Window.partitionBy(key))).drop("_p")
 
 

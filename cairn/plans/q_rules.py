@@ -21,16 +21,22 @@ mc AS (SELECT ceil(CAST(0.005 AS DOUBLE) * n) AS m FROM tx),
 s1 AS (SELECT item, COUNT(*) AS f FROM order_baskets GROUP BY item HAVING COUNT(*) >= (SELECT m FROM mc)),
 pr AS (SELECT a.item AS i1, b.item AS i2, COUNT(*) AS f FROM order_baskets a JOIN order_baskets b
        ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY ALL HAVING COUNT(*) >= (SELECT m FROM mc)),
-ru AS (SELECT i1 AS antecedent, i2 AS consequent, f FROM pr UNION ALL SELECT i2, i1, f FROM pr),
-rr AS (SELECT ru.antecedent, ru.consequent, (ru.f / tx.n) / (sa.f / tx.n) AS confidence, si.f / tx.n AS si
-       FROM ru JOIN s1 sa ON sa.item = ru.antecedent JOIN s1 si ON si.item = ru.consequent, tx),
-rules AS (SELECT antecedent, consequent, confidence, confidence - si AS interest, confidence / si AS lift FROM rr
+tr AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, COUNT(*) AS f FROM order_baskets a JOIN order_baskets b
+       ON a.basket_id = b.basket_id AND a.item < b.item JOIN order_baskets c ON b.basket_id = c.basket_id AND b.item < c.item
+       GROUP BY ALL HAVING COUNT(*) >= (SELECT m FROM mc)),
+su AS (SELECT item AS antecedent, 1 AS size, f FROM s1 UNION ALL SELECT i1 || ',' || i2, 2, f FROM pr),
+ru AS (SELECT i1 AS antecedent, i2 AS consequent, f FROM pr UNION ALL SELECT i2, i1, f FROM pr
+       UNION ALL SELECT i1 || ',' || i2, i3, f FROM tr UNION ALL SELECT i1 || ',' || i3, i2, f FROM tr
+       UNION ALL SELECT i2 || ',' || i3, i1, f FROM tr),
+rr AS (SELECT ru.antecedent, sa.size, ru.consequent, (ru.f / tx.n) / (sa.f / tx.n) AS confidence, si.f / tx.n AS si
+       FROM ru JOIN su sa ON sa.antecedent = ru.antecedent JOIN s1 si ON si.item = ru.consequent, tx),
+rules AS (SELECT antecedent, size, consequent, confidence, confidence - si AS interest, confidence / si AS lift FROM rr
           WHERE confidence > 0.05 AND confidence - si > -1)"""
 
 
 def _rules(spark, d):
     return RU.assoc_rules(V.order_baskets(spark, d), min_support=0.005, min_confidence=0.05,
-                          min_interest=-1.0, max_itemset_size=1)
+                          min_interest=-1.0, max_itemset_size=5)
 
 
 @query("m7_assoc_rules", M7_CTES + """
@@ -47,8 +53,10 @@ l AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id, item ORDER
              t, order_key, line_no FROM ab),
 bk AS (SELECT user_id, item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, order_key DESC, line_no DESC, item DESC) AS q
        FROM l WHERE k = 1) WHERE q <= 3),
-sc AS (SELECT bk.user_id, rules.consequent, SUM(rules.confidence * rules.lift * 1) AS score
-       FROM bk JOIN rules ON rules.antecedent = bk.item GROUP BY ALL)
+sb AS (SELECT user_id, item AS subset FROM bk UNION ALL
+       SELECT a.user_id, a.item || ',' || b.item FROM bk a JOIN bk b ON a.user_id = b.user_id AND a.item < b.item),
+sc AS (SELECT sb.user_id, rules.consequent, SUM(rules.confidence * rules.lift * rules.size) AS score
+       FROM sb JOIN rules ON rules.antecedent = sb.subset GROUP BY ALL)
 SELECT user_id, consequent, round(score / max(score) OVER (PARTITION BY user_id), 6) AS score FROM sc""")
 def q_m8(spark, d):
     a = V.actions(spark, d)

@@ -120,18 +120,20 @@ def _decay_state_fn(alpha: float):
     import pandas as pd
 
     def fn(key, pdfs, state):
-        count, last_t = state.get if state.exists else (0.0, None)
+        count, start = state.get if state.exists else (0.0, None)
+        last_t = start
         for pdf in pdfs:
             t = pdf["t"].to_numpy(dtype="float64")
             w = pdf["w"].to_numpy(dtype="float64")
+            if start is not None:
+                t = np.maximum(t, start)           # times before the state's are clamped
+            new_t = float(t.max()) if last_t is None else max(last_t, float(t.max()))
+            # closed form of c <- w + exp(-(t - t0)/alpha) c applied in time
+            # order, whatever the order and the chunks of the micro-batch
             if last_t is not None:
-                t = np.maximum(t, last_t)          # out-of-order times are clamped
-            new_t = float(t.max())
-            # closed form of c <- w + exp(-(t - t0)/alpha) c applied in time order
-            total = float(np.sum(w * np.exp(-(new_t - t) / alpha)))
-            if last_t is not None:
-                total += count * float(np.exp(-(new_t - last_t) / alpha))
-            count, last_t = total, new_t
+                count *= float(np.exp(-(new_t - last_t) / alpha))
+            count += float(np.sum(w * np.exp(-(new_t - t) / alpha)))
+            last_t = new_t
         state.update((count, last_t))
         yield pd.DataFrame({"key": [key[0]], "count": [count], "last_t": [last_t]})
 

@@ -3,12 +3,18 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from cairn.operators import models as MO
 from cairn.operators import popularity as POP
+from cairn.operators import rules as RU
 from cairn.operators import sessions as SS
 from cairn.operators.sequence import ordered_ngrams, running_sum, time_bucket, with_prev
+from cairn.streaming.streams import _decay_state_fn
 
 EVENTS = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 400), st.integers(0, 5)), min_size=1, max_size=40)
 
@@ -94,3 +100,45 @@ def test_ngrams_positions(spark):
     tri = sorted(tuple(r["gram"]) for r in grams.filter("n = 3").collect())
     want = sorted(tuple(x[2] for x in data[i:i + 3]) for i in range(len(data) - 2))
     assert tri == want
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(1, 3)), min_size=1, max_size=12), st.integers(1, 5), st.booleans())
+def test_decay_state_ignores_chunks_and_order(ev, size, started):
+    class State:
+        exists, get = started, (2.0, 20.0)
+
+        def update(self, value):
+            self.value = value
+
+    whole, parts = State(), State()
+    pdf = pd.DataFrame(ev, columns=["t", "w"])
+    list(_decay_state_fn(10.0)((1,), [pdf], whole))
+    list(_decay_state_fn(10.0)((1,), [pdf[::-1][i:i + size] for i in range(0, len(pdf), size)], parts))
+    assert np.allclose(whole.value, parts.value)
+    c, last = (2.0, 20.0) if started else (0.0, 0.0)
+    for t, w in sorted((max(t, last), w) for t, w in ev):
+        c, last = w + c * math.exp(-(t - last) / 10.0), t
+    assert np.allclose(whole.value, (c, last))
+
+
+def test_linear_score_of_rows_without_weights(spark):
+    f = spark.createDataFrame([(1, "a", 1.0), (2, "unknown", 1.0)], "id long, feature string, value double")
+    w = spark.createDataFrame([("p", "a", 2.0), ("p", "constant", 1.0), ("q", "constant", 1.0)], "cls string, feature string, weight double")
+    got = {(r["id"], r["cls"]): r["prob"] for r in MO.linear_score(f, w, ["p", "q"]).collect()}
+    p, q = 1 / (1 + math.exp(-3)), 1 / (1 + math.exp(-1))
+    assert abs(got[1, "p"] - p / (p + q)) < 1e-12 and got[2, "p"] == got[2, "q"] == 0.5
+
+
+def test_overlap_distance_takes_unit_vectors(spark):
+    d = MO._dist("kolmogorov")
+    df = spark.createDataFrame([([1.0, 0.0], [0.6, 0.8])], "a array<double>, b array<double>")
+    assert abs(df.select(d(F.col("a"), F.col("b"))).first()[0] - math.sqrt(0.4)) < 1e-9
+    with pytest.raises(Exception, match="unit vectors"):
+        df.select(d(F.col("a"), F.transform("b", lambda x: 2 * x))).collect()
+
+
+def test_rules_of_larger_itemsets(spark):
+    rows = [(i, x) for i in range(4) for x in "abc"] + [(9, "d")]
+    rules = RU.assoc_rules(spark.createDataFrame(rows, "basket_id long, item string"), 0.1, 0.0, -1.0)
+    assert sorted(len(r["antecedent"]) for r in rules.collect()) == [1] * 6 + [2] * 3
