@@ -60,6 +60,18 @@ def test_quality_base_counts(spark):
     assert quality.judge(frame(spark, texts).filter("false")).count() == 0
 
 
+def test_quality_verdict_on_other_labels(spark):
+    """The bounds are fitted on labels with an even id; these are the odd ones."""
+    sf = "/root/testdata/sf0.1"
+    quality_of = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id % 2}
+    rows = [(quality_of[r.doc_id], r.kept) for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+            if r.doc_id in quality_of and not r.base_failed]
+    low, good = [k for q, k in rows if not q], [k for q, k in rows if q]
+    assert len(low) > 150 and len(good) > 1500
+    assert sum(low) <= 0.05 * len(low)
+    assert sum(good) >= 0.995 * len(good)
+
+
 def test_quality_keeps_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert quality.filtered(docs).columns == docs.columns
