@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import gram_hashes, keyed_text, scratch_table, text_blocks, word_hashes, word_spans
 
 SHINGLE = 5
-THRESHOLD = 85      # percent
-BANDS, ROWS = 24, 4  # a pair at the threshold shares no band with probability 2e-8
+THRESHOLD = 85      # percent; the operator's default
+BANDS, ROWS = 24, 4  # a pair at 85 % shares no band with probability 2e-8, one at 80 % with 3e-6
 BATCH = 16
 MISS = 1e-9
 ROUNDS = 2
@@ -114,14 +114,11 @@ def pruning_table(threshold: float, n_hashes: int, miss: float = MISS) -> dict[i
     return {n: max([m for m in range(n + 1) if posterior(m, n) < miss], default=-1) for n in range(BATCH, n_hashes + 1, BATCH)}
 
 
-_PRUNE = pruning_table(THRESHOLD / 100, BANDS * ROWS)
-
-
-def survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indices of the signature pairs that no batch prunes."""
+def survivors(a: np.ndarray, b: np.ndarray, bounds: dict[int, int]) -> np.ndarray:
+    """Indices of the signature pairs that no batch prunes by its bound."""
     alive = np.arange(len(a))
     agree = np.zeros(len(a), np.int64)
-    for n, bound in _PRUNE.items():
+    for n, bound in bounds.items():
         agree = agree + (a[alive, n - BATCH:n] == b[alive, n - BATCH:n]).sum(axis=1)
         keep = agree > bound
         alive, agree = alive[keep], agree[keep]
@@ -132,23 +129,25 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), BANDS * ROWS)
 
 
-def prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def prune(pairs: DataFrame, sigs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) of the candidate pairs that sequential verification lets through."""
+    bounds = pruning_table(threshold / 100, BANDS * ROWS)
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(survivors(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b"))))
+                keep = pa.array(survivors(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")), bounds))
                 yield batch.select(["a", "b"]).take(keep)
 
     def side(x):
         return sigs.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
 
     near = pairs.join(side("b"), "b").join(side("a"), "a") \
-        .filter(100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
+        .filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs whose full sets reach the threshold; sets are made anew from
     the texts of the classes in question only."""
     def run(batches):
@@ -165,7 +164,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b") \
         .join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a") \
         .withColumn("n", shared) \
-        .filter(100 * F.col("n") >= THRESHOLD * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+        .filter(100 * F.col("n") >= threshold * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
 def _star(edges: DataFrame, lows: DataFrame) -> DataFrame:
@@ -192,9 +191,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Surviving pairs between different components of the open buckets in
     ``rows`` (band, n, key, root, sig), by pairs of member blocks."""
+    bounds = pruning_table(threshold / 100, BANDS * ROWS)
+
     def run(cell, table):
         table = table.combine_chunks()
         key, root, block = (table.column(c).to_pylist() for c in ("key", "root", "block"))
@@ -206,7 +207,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
         for x in left:
             ys = np.array([y for y in right if root[y] != root[x] and (i != j or y > x)], np.int64)
             if len(ys):
-                for y in ys[survivors(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys])]:
+                for y in ys[survivors(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], bounds)]:
                     a.append(min(key[x], key[y]))
                     b.append(max(key[x], key[y]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -220,8 +221,9 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
         .applyInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; sets
+    with a similarity of ``threshold`` percent or more are linked."""
     texts = keyed_text(docs, id_col, text_col)
     rows = scratch_table(signed(texts), "signed")
     reps = scratch_table(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
@@ -245,10 +247,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inside = members.join(open_.select("band", "n", F.col("p.key").alias("pk"), F.col("p.root").alias("pr")), "band")
         if turn < ROUNDS:
             pairs = prune(inside.filter("root <> pr").select(
-                F.least("key", "pk").alias("a"), F.greatest("key", "pk").alias("b")).distinct(), classes)
+                F.least("key", "pk").alias("a"), F.greatest("key", "pk").alias("b")).distinct(), classes, threshold)
         else:
-            pairs = _in_blocks(inside.join(classes.select("key", "sig"), "key"))
-        found = scratch_table(verified(scratch_table(pairs, "pairs"), reps, texts), "links")
+            pairs = _in_blocks(inside.join(classes.select("key", "sig"), "key"), threshold)
+        found = scratch_table(verified(scratch_table(pairs, "pairs"), reps, texts, threshold), "links")
         links = found if links is None else links.union(found)
         roots = components(links)
 
@@ -265,9 +267,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without the rows of ids that are not kept; columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = near_duplicates(docs, id_col, text_col, threshold).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

@@ -18,6 +18,8 @@ from cairn.plans.views import table
 
 # A text goes if more than this share of its words stands in test items.
 MAX_COVERAGE = 0.5
+# Texts are near-duplicates from this similarity of their five-word sets on (percent).
+MIN_SIMILARITY = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.filtered(docs)
+    return near_dup.filtered(docs, threshold=MIN_SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from cairn.llm import near_dup, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id bigint, text string, key string, rid string, h string, n_words string"
@@ -111,6 +112,16 @@ def test_near_duplicates(spark, monkeypatch, rounds, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == brute_components(rows)
 
 
+def test_pipeline_links_from_eighty_percent(spark):
+    """A text of 104 words has 100 shingles; the last k words changed leave
+    100 - k of 100 + k: 83 % at k = 9, 78 % at k = 12."""
+    base = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(base)), *((k, " ".join(base[:-k] + [f"{k}x{i}" for i in range(k)])) for k in (9, 12))]
+    docs = frame(spark, rows)
+    assert sorted(r.doc_id for r in near_dup.filtered(docs).collect()) == [1, 9, 12]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 12]
+
+
 def test_near_duplicates_without_id_are_not_linked(spark):
     out = near_dup.near_duplicates(frame(spark, [(None, "a b c"), (4, "A b c"), (3, "a b c"), (3, "a b c")])).collect()
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in out) == [(0, None, True), (3, 3, True), (3, 3, True), (4, 3, False)]
