@@ -34,6 +34,15 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs``, written once as a scratch table with a number for every row,
+    and the name of that new column. Numbers do not change once written."""
+    column, taken = "row", {c.lower() for c in docs.columns}
+    while column in taken:
+        column += "_"
+    return scratch_table(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; other columns never clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import gram_hashes, keyed_text, scratch_table, text_blocks, word_hashes, word_spans
+from cairn.llm.common import gram_hashes, keyed_text, numbered, scratch_table, text_blocks, word_hashes, word_spans
 
 SHINGLE = 5
 THRESHOLD = 85      # percent; the operator's default
@@ -268,9 +268,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows of ids that are not kept; columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of every component, that of the smallest id (of the smallest text
+    hash among rows of that id), and all rows without an id; columns unchanged."""
+    rows, row = numbered(docs, "near-rows")
+    key = F.when(F.col(id_col).isNotNull(), F.struct(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(row).alias("row")))
+    keyed = rows.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    gone = near_duplicates(keyed, threshold=threshold).filter("NOT kept").select(F.col("doc_id.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = """

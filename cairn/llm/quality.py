@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import scratch_table
+from cairn.llm.common import numbered, scratch_table
 
 SPACE = " \\t\\n\\x0B\\f\\r"
 
@@ -181,12 +181,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_FLOOR + WORD_SLOPE / F.sqrt("n_words")))
 
 
-def filtered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose text is kept, columns unchanged. Rows of one
-    id share their verdict: one rejected text of an id rejects the id; rows
-    without an id go."""
-    rejected = judge(docs, id_col).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNotNull()).join(rejected, id_col, "left_anti").select(*docs.columns)
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, columns unchanged. Every row is
+    judged by its own text, whatever its id."""
+    rows, row = numbered(docs, "quality-rows")
+    rejected = judge(rows, row).filter("NOT kept").select(F.col("doc_id").alias(row))
+    return rows.join(rejected, row, "left_anti").select(*docs.columns)
 
 
 def digest(judged: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@ secrets, tokens.
 
 Every stage reads its predecessor's Parquet, under the shared checkpoint folder,
 so a lost executor repeats tasks of one stage only. All stages but the last keep
-the columns of ``documents``; rows without an id go with the first stage, and
-``n_chars`` stays what the source stated.
+the columns of ``documents``; rows are judged each, also those that share an id
+or have none (which the near-duplicate stage keeps), and ``n_chars`` stays what
+the source stated.
 """
 
 from __future__ import annotations

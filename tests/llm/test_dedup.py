@@ -127,6 +127,14 @@ def test_near_duplicates_without_id_are_not_linked(spark):
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in out) == [(0, None, True), (3, 3, True), (3, 3, True), (4, 3, False)]
 
 
+def test_filtered_keeps_one_row_of_a_group_and_rows_without_id(spark):
+    near, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, near), (1, near), (2, near), (2, other), (None, near), (None, None), (3, ""), (3, "")]
+    kept = near_dup.filtered(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(
+        [(1, near), (2, other), (None, near), (None, None), (3, ""), (3, "")])
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     table = near_dup.pruning_table(0.85, 96)
     assert all(bound < 0.85 * n - 4 * (n * 0.85 * 0.15) ** 0.5 for n, bound in table.items() if bound >= 0)

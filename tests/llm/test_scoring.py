@@ -49,6 +49,13 @@ def brute_quality(text):
             len(w) < 20 or 100 * len(hit) > 30 * len(w))
 
 
+def quality_texts(spark):
+    """Good English texts of sf0.01."""
+    good = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1")
+    return spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' AND n_chars BETWEEN 1000 AND 3000") \
+        .join(good, "doc_id").orderBy("doc_id").dropDuplicates(["text"]).limit(20).collect()
+
+
 def test_quality_base_counts(spark):
     rnd = random.Random(3)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
@@ -77,6 +84,17 @@ def test_quality_keeps_columns(spark):
     assert quality.filtered(docs).columns == docs.columns
 
 
+def test_quality_judges_rows_not_ids(spark):
+    """Clean rows without an id, or with the id of a rejected row, stay."""
+    texts = [r.text for r in quality_texts(spark)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "junk"), (None, texts[1]), (None, "junk"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], DOCS).withColumnRenamed("spans", "Row")
+    out = quality.filtered(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect()) == \
+        sorted([(False, i, t) for i, t in enumerate(texts)] + [(True, 0, texts[1])])
+
+
 def test_rollups_are_idempotent(spark, tmp_path):
     a, b = frame(spark, ["x y", "1 2", None]), frame(spark, ["z"])
     path = str(tmp_path)
