@@ -56,7 +56,7 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 def commit(path: str, batch: str, rows: DataFrame) -> None:
     """Write (or replace) one batch; ``batch`` is a name without slashes."""
-    _sums(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/{batch}")
+    _sums(rows).write.mode("overwrite").parquet(f"{path}/{batch}")
 
 
 def totals(spark: SparkSession, path: str, batches: list[str]) -> DataFrame:

@@ -95,6 +95,19 @@ def test_quality_judges_rows_not_ids(spark):
         sorted([(False, i, t) for i, t in enumerate(texts)] + [(True, 0, texts[1])])
 
 
+def test_commit_sums_in_all_shuffle_partitions(spark, tmp_path):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    docs = spark.range(200).selectExpr("id AS doc_id", "'x y' AS text", "'en' AS lang", "CAST(id AS string) AS source")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        token_counts.commit(str(tmp_path), "a", token_counts.inserts(docs))
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "a").glob("part-*"))) == 4
+    assert token_counts.totals(spark, str(tmp_path), ["a"]).count() == 400
+
+
 def test_rollups_are_idempotent(spark, tmp_path):
     a, b = frame(spark, ["x y", "1 2", None]), frame(spark, ["z"])
     path = str(tmp_path)
