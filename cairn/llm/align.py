@@ -14,11 +14,8 @@ has each of them. Only dictionaries are shuffled to count pairs over the corpus,
 pair that all texts hold is one row a block; the totals go back to the blocks by a
 join on the pair, which AQE splits where one pair is in very many blocks.
 
-Cost. Texts are cut at single spaces between other characters and both tokenizers are
-asked once for each new chunk: A's pattern always cuts before a space that a non-space
-follows, and no piece of B has a space after another character (checked when the model
-is loaded), so neither joins bytes across such a cut. Chunk ids are kept in a bounded
-table in each worker.
+Cost. Encoding is most of the work and is done once; texts in scripts whose character classes are settled are
+encoded by a faster library with A's merges as ranks, which gives the same ids.
 
 Defined cases: null and empty texts, and texts whose tokens do not spell a space and the
 text (a normaliser changed them), have no tokens, all counts 0 and an empty
@@ -30,6 +27,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from dataclasses import dataclass
 from itertools import chain
@@ -45,8 +43,6 @@ from cairn.llm.common import keyed_text, scratch_table, text_blocks
 
 BLOCK_SLICES = 8          # slices of about a megabyte of text in a block
 BLOCK_TEXTS = 32_768      # texts in a block at most, short as they may be
-MAX_CHUNKS = 150_000      # chunks a worker keeps
-MAX_CHUNK_CHARS = 48      # longer ones are encoded, not kept
 
 
 # ---- alignment of token intervals ------------------------------------------------------------------
@@ -86,13 +82,11 @@ def coalesce(end_a: np.ndarray, end_b: np.ndarray) -> Alignment:
 
 # ---- tokenizers -----------------------------------------------------------------------------------
 
-# A space after a non-space and before a character that no Unicode table calls a space.
-_CUT = re.compile(r"(?<=[^ ]) (?=[!-~]|[^\W_])")
+# Scripts whose character classes no Unicode version has changed: A's pieces are then the same for any library.
+_SETTLED = re.compile("[\t\n\r -~\u00a0-\u024f\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
-
-def chunks(text: str) -> list[str]:
-    """Parts of the text that no token of A or B reaches across; one space each is between them."""
-    return _CUT.split(text)
+# Fixed value: the pattern of byte-level pre-tokenization.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -125,43 +119,42 @@ class _Loaded:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(map(alphabet.__getitem__, token)) if alphabet.keys() >= set(token) else token.encode()
+        self.ranked = self._by_ranks(json.loads(file_a))
         self.b = sentencepiece.SentencePieceProcessor(model_proto=file_b)
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
-            if "\u2581" in piece.lstrip("\u2581"):
-                raise ValueError(f"a piece has a space after another character: {piece!r}")
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("\u2581", " ").encode())
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         # decimal ids with what may follow them in a digest, A's then B's
         self.printed = [x for side in (self.bytes_a, self.bytes_b) for c in (b",", b"|", b";") for x in _numbers(len(side), c)]
-        self.kept: dict[str, tuple[list[int], list[int], bool]] = {}
 
-    def _spells(self, text: str, a: list[int], b: list[int]) -> bool:
-        want = b" " + text.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
+    def _by_ranks(self, spec: dict):
+        """The same encoding by a faster library, if A is plain byte-level BPE whose ids count its merges."""
+        import tiktoken
+
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        special = {t["id"] for t in spec["added_tokens"]}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        plain = (spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+                 and model["type"] == "BPE" and not model.get("ignore_merges") and not model.get("dropout")
+                 and [model["vocab"].get(m) for m in merged] == list(range(256, 256 + len(merged))))
+        if not plain:
+            return None
+        ranks = {t: i for i, t in enumerate(self.bytes_a) if i not in special}
+        return tiktoken.Encoding("a", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of A and of B; both empty if they do not spell a space and the text."""
-        parts, kept = chunks(text), self.kept
-        new = {c for c in parts if c not in kept}
-        if new:
-            if len(kept) + len(new) > MAX_CHUNKS:
-                kept.clear()
-                new = set(parts)
-            new = sorted(new)
-            found = zip(new, self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False),
-                        self.b.encode(new, num_threads=1))
-            kept.update((c, (a.ids, b, self._spells(c, a.ids, b))) for c, a, b in found)
-        met = [kept[c] for c in parts]
-        a = list(chain.from_iterable(x[0] for x in met))
-        b = list(chain.from_iterable(x[1] for x in met))
-        whole = all(x[2] for x in met) or self._spells(text, a, b)
-        for c in new:
-            if len(c) > MAX_CHUNK_CHARS:
-                del kept[c]
-        return (a, b) if whole else ([], [])
+        if self.ranked is not None and _SETTLED.fullmatch(text):
+            a = self.ranked.encode_ordinary(" " + text)
+        else:
+            a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text)
+        want = b" " + text.encode()
+        spelt = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
+        return (a, b) if spelt else ([], [])
 
 
 class Tokenizers:

@@ -91,10 +91,13 @@ def test_pair_table_counts_links(spark, tokenizers):
     assert named[b" words", b" words"] == (3, True) and named[b" same", b" same"] == (2, True)
 
 
-def test_chunks_join_to_the_text():
-    for text in strings(5):
-        if text:
-            assert " ".join(align.chunks(text)) == text
+def test_both_encoders_of_a_agree(tokenizers):
+    t = tokenizers.loaded()
+    assert t.ranked is not None
+    for text in strings(5) + [chr(c) for c in range(0x20, 0x250)]:
+        if text and align._SETTLED.fullmatch(text):
+            for x in (text, f"a{text}b", f"1 {text} .{text}"):
+                assert t.ranked.encode_ordinary(x) == t.a.encode(x, add_special_tokens=False).ids
 
 
 def test_coalesced_groups():
