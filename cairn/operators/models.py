@@ -1,9 +1,8 @@
 """Model-fit and vector operators on Spark ML (survey M3-M6, M9-M17, M19, M25-M33).
 
 Fits are Spark ML estimators (distributed); nothing is collected except
-fitted parameters of bounded size. Vector neighbours over whole tables use
-locality-sensitive hashing (bucket joins, no all-pairs product); a bounded,
-size-checked set of reference vectors (query terms, anomaly spheres) is
+fitted parameters of bounded size. Vector neighbours over whole tables are
+exact (``nearest``: blocks pruned by the triangle inequality); a bounded, size-checked set of reference vectors (query terms, anomaly spheres) is
 compared per row with higher-order functions over one array value.
 """
 
@@ -16,6 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.nearest import nearest, top_unseen
 from cairn.operators.ranking import exclude_seen, top_k
 
 MAX_REFERENCE_ROWS = 100_000  # bound for reference sets compared row by row
@@ -90,6 +90,56 @@ def recent_mf_user_vectors(recent: DataFrame, item_vectors: DataFrame, user="use
     return s.join(l1, user).select(user, "dim", F.when(F.col("_l1") > 0, F.col("v") / F.col("_l1")).otherwise(0.0).alias("value"))
 
 
+def gram_inverse(item_vectors: DataFrame, vec="features"):
+    """Inverse of the factors' Gram matrix, rank x rank: every task adds up its own rows,
+    the sums of the tasks are added by position."""
+    import numpy as np
+    import pyarrow as pa
+
+    def partial(batches):
+        total = None
+        for batch in batches:
+            lists = batch.column(0)
+            m = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py():lists.offsets[-1].as_py()].reshape(len(lists), -1)
+            if len(m):
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "v"])
+
+    cells = item_vectors.select(as_double_array(vec).alias("v")).mapInArrow(partial, "cell bigint, v double") \
+        .groupBy("cell").agg(F.sum("v").alias("v")).collect()          # rank x rank numbers
+    rank = int(round(len(cells) ** 0.5))
+    gram = np.zeros(rank * rank)
+    for c in cells:
+        gram[c.cell] = c.v
+    return np.linalg.pinv(gram.reshape(rank, rank))
+
+
+def fold_in_users(recent: DataFrame, item_vectors: DataFrame, user="user_id", item="item_id", vec="features") -> DataFrame:
+    """M5 (fold-in): user vector = sum over the recent items of their rows of the
+    factors' pseudo-inverse, that is (sum of their factors) times the inverse Gram
+    matrix; (user, vec). Recent items without factors are left out."""
+    inverse = gram_inverse(item_vectors, vec)
+    fl = factors_long(item_vectors.select(F.col(item).alias("_i"), as_double_array(vec).alias("_v")), "_i", "_v")
+    s = recent.select(user, F.col(item).alias("_i")).distinct().join(fl, "_i").groupBy(user, "dim").agg(F.sum("v").alias("v"))
+    total = s.groupBy(user).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("_s"))   # rank numbers
+    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in inverse])
+    return total.select(user, F.transform(rows, lambda row: dot(row, F.col("_s"))).alias("vec"))
+
+
+def recommend_recent_mf(recent: DataFrame, item_vectors: DataFrame, n: int, fold_in: bool = False, user="user_id",
+                        item="item_id", vec="features") -> DataFrame:
+    """M5: top n items by dot(item factors, user vector), recent items removed; the user
+    vector is folded in or averaged from the recent items. (user, item, score, rank)."""
+    if fold_in:
+        users = fold_in_users(recent, item_vectors, user, item, vec)
+    else:
+        users = recent_mf_user_vectors(recent, item_vectors, user, item, vec).groupBy(user) \
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("vec"))
+    items = item_vectors.select(item, as_double_array(vec).alias("vec"))
+    return top_unseen(items, users, recent.select(user, item), n, None, item, user)
+
+
 def mf_user_clusters(user_factors: DataFrame, k: int = 20, dims: int = 10, iters: int = 200, seed: int = 1,
                      user="id", vec="features") -> DataFrame:
     """M6: project user factors to ``dims`` principal components, KMeans into
@@ -165,52 +215,63 @@ def fit_item2vec(sessions: DataFrame, dim: int = 30, min_count: int = 50, seed:
     return Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, inputCol="_t", outputCol="_v").fit(d)
 
 
-def vector_neighbours(vectors: DataFrame, k: int, key="id", vec="vec", bucket_length: float = 1.0,
-                      tables: int = 8, max_dist: float = 1.2, seed: int = 1) -> DataFrame:
-    """K nearest vectors by cosine, excluding self, zero vectors never
-    similar. Vectors are L2-normalised so euclidean distance d and cosine c
-    relate by c = 1 - d^2 / 2; candidates come from a random-projection LSH
-    self join (bucket equality), exact cosine is recomputed on them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    to_vec = F.udf(lambda a: Vectors.dense(a), VectorUDT())
-    n = norm(as_double_array(vec))
-    unit = vectors.filter(n > 0).select(key, F.transform(as_double_array(vec), lambda x: x / n).alias("_u"))
-    v = unit.select(key, "_u", to_vec("_u").alias("_v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed).fit(v)
-    pairs = lsh.approxSimilarityJoin(v, v, max_dist, distCol="_d") \
-        .select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{key}").alias("other"),
-                dot(F.col("datasetA._u"), F.col("datasetB._u")).alias("sim")) \
-        .filter(F.col(key) != F.col("other"))
-    return top_k(pairs, [key], [F.desc("sim"), F.asc("other")], k)
-
-
-def recommend_vectors(nbrs: DataFrame, recent: DataFrame, seen: DataFrame, n: int, drop_perfect: bool = True,
-                      user="user_id", item="item_id") -> DataFrame:
-    """Candidate score = sum of cosine to the user's recent items (from
-    the neighbour table), perfect matches (1.0) optionally dropped, NaN ignored;
-    seen removed; top n rescaled."""
-    j = recent.select(user, F.col(item).alias("id")).join(nbrs, "id")
-    if drop_perfect:
-        j = j.filter(F.col("sim") < 1.0)
-    j = j.filter(~F.isnan("sim"))
-    s = j.groupBy(user, F.col("other").alias(item)).agg(F.sum("sim").alias("score"))
-    t = top_k(exclude_seen(s, seen, (user, item)), [user], [F.desc("score"), F.asc(item)], n)
+def vector_neighbours(vectors: DataFrame, k: int, key="id", vec="vec") -> DataFrame:
+    """The k nearest vectors by cosine, excluding self (``nearest``: exact, all
+    rows); a zero vector has similarity 0 to all. (key, other, sim, rank)."""
+    return nearest(vectors, k, key, vec).withColumnRenamed("id", key)
+
+
+def _recent_units(recent: DataFrame, vectors: DataFrame, user: str, item: str, key: str, vec: str) -> DataFrame:
+    """(user, units, vec): unit vectors of the user's recent items (a short list) and their sum;
+    items without a vector or with a zero vector are left out."""
+    v, size = as_double_array(vec), norm(as_double_array(vec))
+    unit = vectors.filter(size > 0).select(F.col(key).alias(item), F.transform(v, lambda x: x / size).alias("_u"))
+    total = F.aggregate("units", F.transform(F.col("units")[0], lambda x: F.lit(0.0)), lambda s, u: F.zip_with(s, u, lambda x, y: x + y))
+    return recent.select(user, item).distinct().join(unit, item).groupBy(user).agg(F.array_sort(F.collect_list("_u")).alias("units")) \
+        .withColumn("vec", total)
+
+
+def recommend_vectors(vectors: DataFrame, recent: DataFrame, seen: DataFrame, n: int, drop_perfect: bool = True,
+                      user="user_id", item="item_id", key="id", vec="vec") -> DataFrame:
+    """Score of every item with a vector = sum of its cosine to the user's
+    recent items, perfect matches (1.0) optionally dropped; seen removed; top n
+    rescaled. All items are candidates: the sum of the unit vectors is one query."""
+    v, size = as_double_array(vec), norm(as_double_array(vec))
+    units = vectors.filter(size > 0).select(F.col(key).alias(item), F.transform(v, lambda x: x / size).alias("vec"))
+    queries = _recent_units(recent, vectors, user, item, key, vec)
+
+    def score(_, own):
+        cosines = F.transform("units", lambda u: dot(u, own))
+        kept = F.filter(cosines, lambda c: F.round(c, 9) != 1.0) if drop_perfect else cosines
+        return F.aggregate(kept, F.lit(0.0), lambda s, x: s + x)
+
+    t = top_unseen(units, queries, seen, n, score, item, user)
     return t.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(user)))
 
 
-def sort_by_vectors(items_to_sort: DataFrame, nbrs: DataFrame, recent: DataFrame, seen: DataFrame,
-                    user="user_id", item="item_id") -> DataFrame:
-    """Order given items: unseen by summed similarity to recent items,
-    then seen items, then items without a vector score."""
-    s = recent.select(user, F.col(item).alias("id")).join(nbrs, "id") \
-        .groupBy(user, F.col("other").alias(item)).agg(F.sum("sim").alias("score"))
-    j = items_to_sort.select(user, item).join(s, [user, item], "left") \
-        .join(seen.select(user, item).distinct().withColumn("_seen", F.lit(1)), [user, item], "left")
-    bucket = F.when(F.col("score").isNull(), 2).when(F.col("_seen").isNotNull(), 1).otherwise(0)
-    w = Window.partitionBy(user).orderBy(bucket, F.desc_nulls_last("score"), F.asc(item))
-    return j.withColumn("rank", F.row_number().over(w).cast("bigint")).drop("_seen")
+def sort_by_vectors(items_to_sort: DataFrame, vectors: DataFrame, recent: DataFrame, seen: DataFrame,
+                    user="user_id", item="item_id", key="id", vec="vec") -> DataFrame:
+    """Order given items: unseen ones with a vector by their summed cosine to the
+    recent items, then seen (or recent) ones, then those without a vector. Users without an
+    unseen item to score, or without a recent item that has a vector, get no list."""
+    v, size = as_double_array(vec), norm(as_double_array(vec))
+    units = vectors.filter(size > 0).select(F.col(key).alias(item), F.transform(v, lambda x: x / size).alias("_u"))
+    known = seen.select(user, item).unionByName(recent.select(user, item)).distinct().withColumn("_seen", F.lit(True))
+    q = _recent_units(recent, vectors, user, item, key, vec).select(user, F.col("vec").alias("_q"))
+    j = items_to_sort.select(user, item).distinct().join(q, user).join(known, [user, item], "left").join(units, item, "left")
+    place = F.when(F.col("_seen").isNotNull(), 1).when(F.col("_u").isNull(), 2).otherwise(0)
+    j = j.select(user, item, place.alias("place"), F.when(place == 0, F.round(dot("_q", "_u"), 9)).alias("score"))
+    order = Window.partitionBy(user).orderBy("place", F.desc_nulls_last("score"), F.asc(item))
+    return j.withColumn("_any", F.min("place").over(Window.partitionBy(user))).filter(F.col("_any") == 0) \
+        .withColumn("rank", F.row_number().over(order).cast("bigint")).drop("_any")
+
+
+def recommend_docs(neighbours: DataFrame, recent: DataFrame, n: int, user="user_id", item="item_id") -> DataFrame:
+    """score(document) = sum of its similarity over the neighbour lists (id, other,
+    sim; 10 n long each) of the user's recent documents; top n."""
+    j = recent.select(user, F.col(item).alias("id")).distinct().join(neighbours, "id")
+    s = j.groupBy(user, F.col("other").alias(item)).agg(F.round(F.sum("sim"), 9).alias("score"))
+    return top_k(s, [user], [F.desc("score"), F.asc(item)], n)
 
 
 def nearest_reference(vectors: DataFrame, refs: DataFrame, key="id", vec="vec", ref_key="ref", ref_vec="vec",

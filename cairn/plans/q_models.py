@@ -1,6 +1,6 @@
-"""Registered queries: model fits and vector operators.
+"""Registered queries: model fits and vector operators.
 
-Seeded stochastic fits (ALS, LDA, KMeans, Word2Vec, LSH, tree models) are
+Seeded stochastic fits (ALS, LDA, KMeans, Word2Vec, tree models) are
 rows-only; operators that consume given factors / weights carry SQL twins.
 """
 
@@ -141,27 +141,92 @@ def _emb(spark, d):
     return V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-@query("m13_vector_neighbours")
+# Unit vectors, and the five most recent items of every user.
+UNITS = """
+e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e WHERE list_dot_product(v, v) > 0)"""
+RECENT = """
+l AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, item_id ORDER BY t DESC, order_key DESC, line_no DESC) AS k,
+             t, order_key, line_no FROM actions),
+lr AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, order_key DESC, line_no DESC, item_id DESC) AS q
+        FROM l WHERE k = 1),
+rec AS (SELECT user_id, item_id FROM lr WHERE q <= 5)"""
+
+
+@query("m13_vector_neighbours", f"""WITH {UNITS},
+s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM s)
+SELECT id, other, round(sim, 6) AS sim, rank FROM k WHERE rank <= 5""")
 def q_m13(spark, d):
-    out = M.vector_neighbours(_emb(spark, d), 5, bucket_length=0.4, tables=6, max_dist=1.0)
-    return out.select("id", "other", r("sim", "sim"), "rank")
+    out = M.vector_neighbours(_emb(spark, d), 5)
+    return out.select("id", "other", r("sim", "sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("m14_recommend_vectors")
+@query("m14_recommend_vectors", W("actions") + f", {UNITS}, {RECENT}" + """,
+c AS (SELECT rec.user_id, b.vec_id AS item_id, list_dot_product(a.v, b.v) AS cosine FROM rec JOIN u a ON a.vec_id = rec.item_id, u b),
+s AS (SELECT user_id, item_id, round(coalesce(sum(cosine) FILTER (WHERE round(cosine, 9) <> 1.0), 0.0), 9) AS score FROM c GROUP BY ALL),
+n AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM actions a WHERE a.user_id = s.user_id AND a.item_id = s.item_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM n)
+SELECT user_id, item_id, rank, round(score / max(score) OVER (PARTITION BY user_id), 6) AS score FROM k WHERE rank <= 5""")
 def q_m14(spark, d):
-    nb = M.vector_neighbours(_emb(spark, d), 10)
     a = V.actions(spark, d)
-    rec = recent_items(a, 5)
-    return M.recommend_vectors(nb, rec, a.select("user_id", "item_id"), 5)
+    out = M.recommend_vectors(_emb(spark, d), recent_items(a, 5), a.select("user_id", "item_id"), 5)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
 
 
-@query("m15_sort_by_vectors")
+@query("m15_sort_by_vectors", W("actions") + f", {UNITS}, {RECENT}" + """,
+given AS (SELECT user_id, item_id FROM lr WHERE q <= 20),
+q AS (SELECT rec.user_id, a.v FROM rec JOIN u a ON a.vec_id = rec.item_id),
+p AS (SELECT g.user_id, g.item_id, CASE WHEN rec.item_id IS NOT NULL THEN 1 WHEN u.vec_id IS NULL THEN 2 ELSE 0 END AS place, u.v
+      FROM given g LEFT JOIN rec ON rec.user_id = g.user_id AND rec.item_id = g.item_id LEFT JOIN u ON u.vec_id = g.item_id),
+s AS (SELECT p.user_id, p.item_id, p.place, round(sum(list_dot_product(q.v, p.v)) FILTER (WHERE p.place = 0), 9) AS score
+      FROM p JOIN q ON q.user_id = p.user_id GROUP BY p.user_id, p.item_id, p.place),
+f AS (SELECT *, min(place) OVER (PARTITION BY user_id) AS least FROM s)
+SELECT user_id, item_id, place, round(score, 6) AS score,
+       row_number() OVER (PARTITION BY user_id ORDER BY place, score DESC NULLS LAST, item_id) AS rank FROM f WHERE least = 0""")
 def q_m15(spark, d):
-    nb = M.vector_neighbours(_emb(spark, d), 10)
-    a = V.actions(spark, d)
-    rec = recent_items(a, 5)
-    given = recent_items(a, 20).select("user_id", "item_id")
-    return M.sort_by_vectors(given, nb, rec, a.select("user_id", "item_id"))
+    """The 20 last items of every user, of which the last five count as seen."""
+    rec = recent_items(V.actions(spark, d), 20)
+    last = rec.filter("recent_rank <= 5").select("user_id", "item_id")
+    out = M.sort_by_vectors(rec.select("user_id", "item_id"), _emb(spark, d), last, last)
+    return out.select("user_id", "item_id", "place", r("score", "score"), "rank")
+
+
+@query("m19_recommend_docs", W("clicks") + f", {UNITS}" + """,
+lc AS (SELECT user_id, item_id, max(t_us) AS t, arg_max(event_id, (t_us, event_id)) AS e FROM clicks GROUP BY ALL),
+rec AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, e DESC, item_id DESC) AS q FROM lc) WHERE q <= 5),
+s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS q FROM s),
+t AS (SELECT rec.user_id, k.other AS item_id, round(sum(k.sim), 9) AS score FROM rec JOIN k ON k.id = rec.item_id AND k.q <= 50 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM t)
+SELECT user_id, item_id, rank, round(score, 6) AS score FROM o WHERE rank <= 5""")
+def q_m19(spark, d):
+    rec = recent_items(V.clicks(spark, d), 5, order=("t_us", "event_id"))
+    out = M.recommend_docs(M.vector_neighbours(_emb(spark, d), 50), rec, 5)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
+
+
+@query("m5_recommend_recent_mf", W("actions") + f", {UNITS}, {RECENT}" + """,
+fl AS (SELECT vec_id, w.p AS dim, w.x AS v FROM e, LATERAL (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS p) w),
+s AS (SELECT rec.user_id, fl.dim, sum(fl.v) AS v FROM rec JOIN fl ON rec.item_id = fl.vec_id GROUP BY ALL),
+w AS (SELECT user_id, dim, v / sum(abs(v)) OVER (PARTITION BY user_id) AS v FROM s),
+g AS (SELECT user_id, list(v ORDER BY dim) AS v FROM w GROUP BY user_id),
+c AS (SELECT g.user_id, e.vec_id AS item_id, round(list_dot_product(g.v, e.v), 9) AS score FROM g, e),
+n AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM rec WHERE rec.user_id = c.user_id AND rec.item_id = c.item_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM n)
+SELECT user_id, item_id, rank, round(score, 6) AS score FROM k WHERE rank <= 5""")
+def q_m5_recommend(spark, d):
+    items = _emb(spark, d).select(F.col("id").alias("item_id"), F.col("vec").alias("features"))
+    out = M.recommend_recent_mf(recent_items(V.actions(spark, d), 5), items, 5)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
+
+
+@query("m5_fold_in_vectors")
+def q_m5_fold_in(spark, d):
+    """Users folded into the item factors and scored; no matrix inverse in SQL: tested against numpy."""
+    items = _emb(spark, d).select(F.col("id").alias("item_id"), F.col("vec").alias("features"))
+    out = M.recommend_recent_mf(recent_items(V.actions(spark, d), 5), items, 5, fold_in=True)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
 
 
 def _doc_terms(spark, d):
@@ -177,12 +242,12 @@ def q_m16(spark, d):
 
 @query("m17_doc_similarity")
 def q_m17(spark, d):
-    """tf-idf weights projected on random ternary index vectors (64 dims),
-    then LSH neighbours (cosine >= 0.68) and the 5 best per document."""
+    """tf-idf weights projected on random ternary index vectors (64 dims), then
+    the 5 nearest documents of every document that has a weight."""
     docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
     w = FE.tfidf(docs, "doc_id", "toks", min_df=2, max_df=0.5)
     proj = M.project_weights(w, "doc_id", "term", "weight", dim=64)
-    return M.vector_neighbours(proj.withColumnRenamed("doc_id", "id"), 5, bucket_length=0.15, tables=4, max_dist=0.8) \
+    return M.vector_neighbours(proj.withColumnRenamed("doc_id", "id"), 5) \
         .select("id", "other", r("sim", "sim"), "rank")
 
 

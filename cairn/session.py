@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +70,15 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back: the
+    lineage ends there, and what reads it several times sees the same rows."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def reuse(df):
     """Keep an intermediate that a plan reads several times (memory, spilling
     to disk); lost blocks are recomputed from lineage."""
