@@ -101,6 +101,62 @@ def recommend_popular_in_session(recent: DataFrame, item_dim: DataFrame, dim_top
     return rescale_top(exclude_seen(j, seen, (user, item)), n, user, item)
 
 
+def recommend_session_depth(recent: DataFrame, item_dim: DataFrame, dim_top: DataFrame, n: int, seen: DataFrame, attrs: Sequence[str],
+                            depth: int, dims: Sequence[int] | None = None, user="user_id", item="item_id") -> DataFrame:
+    """For each of the ``depth`` most recent items, newest first, and each of its attributes in the
+    order of ``attrs`` the dimension's most popular items (A7 output) are added up. A list's scores are its
+    counts over its first count, times the lowest score of the list before it at the same depth (1 after a list of
+    which all is seen). Once ``n`` items have a score the rest of that depth is left out, and every further
+    depth gives one item of its first attribute. Top n rescaled to 1.
+
+    What is folded is a user's depth x attributes x list length rows at most."""
+    order = F.array(*[F.lit(a) for a in attrs])
+    slots = recent.filter(F.col("recent_rank") <= depth).select(user, F.col("recent_rank").alias("_d"), F.col(item).alias("_i"),
+                                                                F.posexplode(order).alias("_a", "attr"))
+    own = item_dim.select(F.col(item).alias("_i"), "attr", "dim_id")
+    known = dim_top.select("dim_id").distinct().withColumn("_has", F.lit(True))
+    slots = slots.join(own, ["_i", "attr"], "left").join(known, "dim_id", "left")
+    top = dim_top.select("dim_id", item, F.col("count").cast("double").alias("count"))
+    if dims:
+        allowed = item_dim.filter(F.col("dim_id").isin(list(dims))).select(item).distinct()
+        top = top.join(allowed, item, "left_semi")
+    rows = exclude_seen(slots.select(user, "_d", "_a", "dim_id").join(top, "dim_id"), seen, (user, item))
+    lists = rows.groupBy(user, "_d", "_a").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), F.col(item).alias("i")))).alias("_l"))
+    per_user = slots.join(lists, [user, "_d", "_a"], "left").groupBy(user).agg(F.array_sort(F.collect_list(F.struct(
+        "_d", "_a", F.coalesce("_has", F.lit(False)).alias("has"), F.col("_l").alias("l")))).alias("_lists"))
+
+    kind = recent.schema[item].dataType.simpleString()
+    added = F.array().cast(f"array<struct<i:{kind},s:double>>")
+    names = F.array().cast(f"array<{kind}>")
+
+    def one_item(acc, x):
+        score = x["c"] / acc["first"] * acc["lowest"]
+        seen_names = F.array_union(acc["names"], F.array(x["i"]))
+        return F.when(acc["stop"], acc).otherwise(F.struct(
+            acc["first"].alias("first"), acc["lowest"].alias("lowest"), score.alias("low"), (F.size(seen_names) >= n).alias("stop"),
+            seen_names.alias("names"), F.concat(acc["added"], F.array(F.struct(x["i"].alias("i"), score.alias("s")))).alias("added")))
+
+    def one_list(acc, x):
+        fresh = acc["d"] != x["_d"]
+        lowest, stop = F.when(fresh, F.lit(1.0)).otherwise(acc["lowest"]), F.when(fresh, F.lit(False)).otherwise(acc["stop"])
+        items = F.coalesce(x["l"], F.array().cast(f"array<struct<c:double,i:{kind}>>"))
+        start = F.struct(F.coalesce(F.get(items, F.lit(0))["c"], F.lit(-1.0)).alias("first"), lowest.alias("lowest"), F.lit(1.0).alias("low"),
+                         F.lit(False).alias("stop"), acc["names"].alias("names"), acc["added"].alias("added"))
+        done = F.aggregate(items, start, one_item)
+        use = ~stop & x["has"]
+        return F.struct(
+            x["_d"].alias("d"), F.when(use, done["low"]).otherwise(lowest).alias("lowest"),
+            F.when(stop, F.lit(True)).otherwise(F.size(F.when(use, done["names"]).otherwise(acc["names"])) >= n).alias("stop"),
+            F.when(use, done["names"]).otherwise(acc["names"]).alias("names"), F.when(use, done["added"]).otherwise(acc["added"]).alias("added"))
+
+    begin = F.struct(F.lit(0).cast(recent.schema["recent_rank"].dataType).alias("d"), F.lit(1.0).alias("lowest"), F.lit(False).alias("stop"),
+                     names.alias("names"), added.alias("added"))
+    scored = per_user.select(user, F.explode(F.aggregate("_lists", begin, one_list)["added"]).alias("_e")) \
+        .groupBy(user, F.col("_e.i").alias(item)).agg(F.round(F.sum("_e.s"), 12).alias("score"))
+    return rescale_top(scored, n, user, item)
+
+
 def recommend_static(table: DataFrame, n: int, item_dim: DataFrame | None = None,
                      dims: Sequence[int] | None = None, user="user_id", item="item_id") -> DataFrame:
     """Precomputed (user, item, score > 0) limited to items in ``dims``; top n rescaled."""

@@ -108,6 +108,46 @@ def q_r4(spark, d):
     return out.select("user_id", "item_id", "rank", r("score", "score"))
 
 
+@query("r4_popular_in_session_depth", W("actions", "item_dim") + """,
+l AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, item_id ORDER BY t DESC, order_key DESC, line_no DESC) AS k,
+             t, order_key, line_no FROM actions),
+rec AS (SELECT * FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, order_key DESC, line_no DESC, item_id DESC) AS d
+        FROM l WHERE k = 1) WHERE d <= 3),
+agg AS (SELECT i.item_id, d.dim_id, i.cnt AS count FROM
+          (SELECT item_id, SUM(value + 1) AS cnt FROM actions GROUP BY item_id) i
+          JOIN item_dim d ON i.item_id = d.item_id WHERE i.cnt >= 40),
+dt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim_id ORDER BY count DESC, item_id) AS rn FROM agg) WHERE rn <= 10),
+slot AS (SELECT rec.user_id, rec.d, a.a, dim.dim_id, dim.dim_id IN (SELECT dim_id FROM dt) AS has
+         FROM rec CROSS JOIN (VALUES (0, 'brand'), (1, 'type'), (2, 'size')) a(a, attr)
+         LEFT JOIN item_dim dim ON dim.item_id = rec.item_id AND dim.attr = a.attr),
+c AS (SELECT s.user_id, s.d, s.a, dt.item_id, dt.count, row_number() OVER (PARTITION BY s.user_id, s.d, s.a ORDER BY dt.count DESC, dt.item_id) AS pos
+      FROM slot s JOIN dt ON dt.dim_id = s.dim_id
+      WHERE NOT EXISTS (SELECT 1 FROM actions x WHERE x.user_id = s.user_id AND x.item_id = dt.item_id)),
+ls AS (SELECT s.user_id, s.d, s.a, max(c.count) AS top, min(c.count) / max(c.count) AS f, coalesce(s.has, false) AND count(c.item_id) = 0 AS void
+       FROM slot s LEFT JOIN c ON c.user_id = s.user_id AND c.d = s.d AND c.a = s.a GROUP BY s.user_id, s.d, s.a, s.has),
+lv AS (SELECT *, coalesce(sum(CAST(void AS INTEGER)) OVER (PARTITION BY user_id, d ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v FROM ls),
+lw AS (SELECT *, coalesce(product(CASE WHEN void THEN 1.0 ELSE coalesce(f, 1.0) END)
+         OVER (PARTITION BY user_id, d, v ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS lowest FROM lv),
+o AS (SELECT c.*, c.count / lw.top * lw.lowest AS s, row_number() OVER (PARTITION BY c.user_id ORDER BY c.d, c.a, c.pos) AS nr
+      FROM c JOIN lw ON lw.user_id = c.user_id AND lw.d = c.d AND lw.a = c.a),
+fo AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, item_id ORDER BY nr) = 1 AS INTEGER) AS first FROM o),
+ds AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY nr) AS size FROM fo),
+full_at AS (SELECT user_id, min(nr) AS nr, arg_min(d, nr) AS d FROM ds WHERE size >= 15 GROUP BY user_id),
+kept AS (SELECT ds.* FROM ds LEFT JOIN full_at u ON u.user_id = ds.user_id
+         WHERE u.nr IS NULL OR ds.nr <= u.nr OR (ds.d > u.d AND ds.a = 0 AND ds.pos = 1)),
+sc AS (SELECT user_id, item_id, round(sum(s), 12) AS score FROM kept GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc)
+SELECT user_id, item_id, rank, round(score / max(score) OVER (PARTITION BY user_id), 6) AS score FROM rk WHERE rank <= 15""")
+def q_r4_depth(spark, d):
+    """The last three items, brand, type and size in this order."""
+    a = V.actions(spark, d)
+    idim = V.item_dim(spark, d)
+    dim_top = POP.most_popular_by_dim(a, idim, k=10, min_count=40)
+    out = RC.recommend_session_depth(recent_items(a, 3), idim, dim_top, 15, a.select("user_id", "item_id"),
+                                     ["brand", "type", "size"], 3)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
+
+
 @query("r5_recommend_static", W("actions", "item_dim") + """,
 w(type, per_action, max_sum) AS (VALUES (1, 1.0, 3.0), (2, 0.5, 1.0)),
 pt AS (SELECT user_id, item_id, type, COUNT(*) AS n FROM actions GROUP BY ALL),

@@ -10,6 +10,7 @@ from cairn.plans import derived as D
 from cairn.plans import views as V
 from cairn.plans.oracle import W
 from cairn.plans.registry import query
+from cairn.streaming import stateful as SF
 from cairn.streaming import streams as ST
 
 
@@ -156,3 +157,81 @@ def q_t9(spark, d):
     # watermark has not closed yet; a long-running job uses append mode
     s = ST.stream_sessions(V.clicks_of(_events(spark, d)), "6 hours")
     return ST.run_to_table(s, None, mode="complete")
+
+
+# ---- the table arrives in four slices; state and watermark carry over ----
+
+SLICES = 4
+SLICED = f"""
+span AS (SELECT min(t_us) AS first, (max(t_us) - min(t_us)) // {SLICES} + 1 AS step FROM ALLROWS)"""
+
+
+@query("t4_stream_popularity_slices", W("clicks") + "," + SLICED.replace("ALLROWS", "clicks") + """,
+b AS (SELECT item_id, (t_us - first) // step AS b, CAST(floor(t_us / 1000000) AS BIGINT) AS t FROM clicks, span),
+e AS (SELECT b, max(t) AS now FROM b GROUP BY b),
+c AS (SELECT b.item_id, e.now, COUNT(*) AS n FROM b JOIN e ON e.b = b.b GROUP BY ALL),
+m AS (SELECT item_id, max(now) AS last FROM c GROUP BY item_id)
+SELECT c.item_id, round(SUM(c.n * exp(-(m.last - c.now) / 82400.0)), 6) AS score, m.last AS t
+FROM c JOIN m ON m.item_id = c.item_id GROUP BY c.item_id, m.last""")
+def q_t4_slices(spark, d):
+    """Every slice is merged into the decayed popularity that the slices before it left."""
+    import uuid
+    from cairn.session import ensure_checkpoint_dir
+    state = f"{ensure_checkpoint_dir(spark).rstrip('/')}/popularity/{uuid.uuid4().hex}"
+    build = lambda e: V.clicks_of(e).select("item_id", F.floor(F.col("t_us") / 1_000_000).cast("bigint").alias("t"))
+    out = SF.run_in_slices(V.table(spark, d, "events"), "ts", build, SLICES, keys=["item_id"],
+                           batch_fn=lambda b, i: ST.stream_popularity_batch(b, state, i))
+    return out.select("item_id", r("score", "score"), "t")
+
+
+DAY = 86400
+
+
+def _rolling_sql() -> str:
+    co = ", ".join(f"({j}, {a}, {b})" for j, (a, b) in enumerate(MH.coefficients(MH_H, MH_SEED)))
+    return W("clicks") + f""",
+cf(j, a, b) AS (VALUES {co}),
+ev AS (SELECT (t_us + {DAY * 1_000_000 - 1}) // {DAY * 1_000_000} * {DAY} AS step, item_id AS item, user_id % 4294967296 AS x FROM clicks),
+st AS (SELECT step, item, COUNT(*) AS n FROM ev GROUP BY ALL),
+sm AS (SELECT ev.step, ev.item, cf.j, min((cf.a * ev.x + cf.b) % {MH.PRIME}) AS v FROM ev, cf GROUP BY ALL),
+act AS (SELECT step + k.d * {DAY} AS wend, item FROM st, (SELECT unnest(range(0, 7)) AS d) k GROUP BY ALL HAVING sum(n) >= {MH_MIN}),
+sg AS (SELECT act.wend, sm.item, sm.j, min(sm.v) AS v FROM sm JOIN act ON act.item = sm.item AND sm.step > act.wend - {WEEK} AND sm.step <= act.wend GROUP BY ALL),
+pr AS (SELECT a.wend, a.item AS item1, b.item AS item2, COUNT(*) AS co FROM sg a JOIN sg b
+       ON a.wend = b.wend AND a.j = b.j AND a.v = b.v AND a.item < b.item GROUP BY ALL)
+SELECT CAST(wend AS BIGINT) AS window_end, item1, item2, round(co / {float(MH_H)}, 6) AS jaccard FROM pr"""
+
+
+@query("t5_minhash_rolling", _rolling_sql())
+def q_t5_rolling(spark, d):
+    """Similar items over the last seven days, at the end of every day."""
+    build = lambda e: SF.stream_rolling_minhash(V.clicks_of(e), WEEK, DAY, MH_H, MH_SEED, MH_MIN)
+    sig = SF.run_in_slices(V.table(spark, d, "events"), "ts", build, SLICES, close_after_s=9 * DAY)
+    out = SF.signature_similarity(sig, MH_H)
+    return out.select(F.col("at").alias("window_end"), "item1", "item2", r("jaccard", "jaccard"))
+
+
+IDLE = 12 * 3600
+
+
+@query("t6_stream_decayed_runs", W("clicks") + f""",
+g AS (SELECT item_id, t_us, event_id, t_us - lag(t_us) OVER (PARTITION BY item_id ORDER BY t_us, event_id) AS gap FROM clicks),
+s AS (SELECT *, SUM(CASE WHEN gap > {IDLE * 1_000_000} THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+m AS (SELECT item_id, run, min(t_us) AS begin_us, max(t_us) AS last_us FROM s GROUP BY ALL)
+SELECT s.item_id AS key, m.begin_us, m.last_us, COUNT(*) AS n, round(SUM(exp(-(m.last_us - s.t_us) / 1e6 / {ALPHA})), 6) AS count
+FROM s JOIN m ON m.item_id = s.item_id AND m.run = s.run GROUP BY s.item_id, m.run, m.begin_us, m.last_us""")
+def q_t6_runs(spark, d):
+    """Decayed counts of items, dropped after twelve hours without an event."""
+    build = lambda e: SF.stream_decayed_runs(V.clicks_of(e), "item_id", ALPHA, IDLE)
+    out = SF.run_in_slices(V.table(spark, d, "events"), "ts", build, SLICES, close_after_s=2 * DAY)
+    return out.select("key", "begin_us", "last_us", "n", r("count", "count"))
+
+
+@query("t9_stream_sessions_append", W("clicks") + f""",
+g AS (SELECT *, t_us - lag(t_us) OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS gp FROM clicks),
+s AS (SELECT *, SUM(CASE WHEN gp IS NULL OR gp >= {GAP6} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t_us, event_id
+        ROWS UNBOUNDED PRECEDING) AS sn FROM g)
+SELECT user_id, min(t_us) AS start_us, max(t_us) + {GAP6} AS end_us, COUNT(*) AS n FROM s GROUP BY user_id, sn""")
+def q_t9_append(spark, d):
+    """Sessions as the watermark closes them, each once; those left open at the end of a slice go on in the next."""
+    build = lambda e: ST.stream_sessions(V.clicks_of(e), "6 hours")
+    return SF.run_in_slices(V.table(spark, d, "events"), "ts", build, SLICES, close_after_s=2 * DAY)

@@ -164,14 +164,13 @@ def stream_popularity_batch(batch: DataFrame, state_path: str, batch_id: int, no
     spark = batch.sparkSession
     counts = batch.groupBy("item_id").agg(F.count(F.lit(1)).alias("count"), F.max(now_col).alias("_now"))
     now = counts.agg(F.max("_now")).first()[0]
-    if now is None:
-        return counts.select("item_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("t"))
     try:
         old = spark.read.parquet(f"{state_path}/v={batch_id - 1}")
     except AnalysisException as e:  # first version
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         old = spark.createDataFrame([], "item_id long, score double, t long")
-    new = update_popularity(old, counts.select("item_id", "count"), int(now), half)
+    # an empty batch carries the state over
+    new = old if now is None else update_popularity(old, counts.select("item_id", "count"), int(now), half)
     new.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
-    return spark.read.parquet(f"{state_path}/v={batch_id}")
+    return spark.read.schema(old.schema).parquet(f"{state_path}/v={batch_id}")
