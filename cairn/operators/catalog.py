@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.ids import dense_index
 from cairn.operators.ranking import top_k
 
 
@@ -24,6 +25,14 @@ def list_items(items: DataFrame, order: str = "newest", skip: int = 0, limit: in
     return items.orderBy(*o).offset(skip).limit(limit)
 
 
+def list_items_of_dimension(items: DataFrame, dims: DataFrame, dim_id: int, order: str = "newest", skip: int = 0, limit: int = 20,
+                            type_col: str = "type") -> DataFrame:
+    """C2 by dimension: a page of the items of the dimension's item type (``dims``: dim_id and
+    item type); an unknown dimension has no items."""
+    kind = dims.filter(F.col("dim_id") == dim_id).select(F.col("item_type").alias(type_col)).distinct()
+    return list_items(items.join(kind, type_col, "left_semi"), order, skip, limit)
+
+
 def items_by_name(items: DataFrame, text: str, limit: int) -> DataFrame:
     """Case-insensitive substring match on the name, newest first."""
     return items.filter(F.lower("name").contains(text.lower())).orderBy(F.desc("item_id")).limit(limit)
@@ -59,6 +68,21 @@ def users_with(user_attrs: DataFrame, attr: str, value: str) -> DataFrame:
     return user_attrs.filter((F.col("attr") == attr) & (F.col("value") == value)).select("user_id").distinct()
 
 
+def demographics(user_attrs: DataFrame) -> DataFrame:
+    """(demo_id, attr, value), one demographic for each value of a user attribute, ids from 1 in their order."""
+    return dense_index(user_attrs.select("attr", "value").filter(F.col("value").isNotNull()).distinct(), ["attr", "value"], "demo_id")
+
+
+def demographics_named(demos: DataFrame, attr: str, value: str) -> DataFrame:
+    """The demographic of an attribute and a value, matched lower-cased and trimmed."""
+    return demos.filter((F.lower(F.trim("attr")) == attr.strip().lower()) & (F.lower(F.trim("value")) == value.strip().lower()))
+
+
+def user_demographics(user_attrs: DataFrame, demos: DataFrame) -> DataFrame:
+    """(user, demo_id) of every user."""
+    return user_attrs.join(demos, ["attr", "value"]).select("user_id", "demo_id").distinct()
+
+
 def wide_attributes(long_attrs: DataFrame, attrs: Sequence[str], key="item_id") -> DataFrame:
     """Long (key, attr, value) -> one column per attribute (listed
     values make the pivot a single pass without a distinct-values job)."""

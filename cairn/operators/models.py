@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.nearest import nearest, top_unseen
 from cairn.operators.ranking import exclude_seen, top_k
+from cairn.session import reuse
 
 MAX_REFERENCE_ROWS = 100_000  # bound for reference sets compared row by row
 
@@ -65,15 +66,17 @@ def fit_mf(ratings: DataFrame, rank: int = 30, reg: float = 0.01, alpha: float =
     return als.fit(ratings.select(F.col(user).cast("int"), F.col(item).cast("int"), rating))
 
 
+def recommend_factors(user_factors: DataFrame, item_factors: DataFrame, seen: DataFrame, n: int, user="user_id", item="item_id",
+                      vec="features") -> DataFrame:
+    """M4: top n unseen items per user by dot(user, item). A few more than n are asked for
+    every user first, and more only for users whose history takes them away."""
+    users = user_factors.select(user, as_double_array(vec).alias("vec"))
+    return top_unseen(item_factors.select(item, as_double_array(vec).alias("vec")), users, seen, n, None, item, user)
+
+
 def recommend_mf(model, seen: DataFrame, n: int, user="user_id", item="item_id") -> DataFrame:
-    """M4: top n unseen items per user by dot(user, item) (Spark's blocked
-    recommendForAllUsers asks for n + the largest seen count, then seen items
-    are removed)."""
-    max_seen = seen.groupBy(user).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    recs = model.recommendForAllUsers(n + int(max_seen))
-    ex = recs.select(F.col(user).cast("bigint").alias(user), F.explode("recommendations").alias("r")) \
-        .select(user, F.col(f"r.{item}").cast("bigint").alias(item), F.col("r.rating").alias("score"))
-    return top_k(exclude_seen(ex, seen, (user, item)), [user], [F.desc("score"), F.asc(item)], n)
+    """M4 from a fitted ALS model."""
+    return recommend_factors(model.userFactors.withColumnRenamed("id", user), model.itemFactors.withColumnRenamed("id", item), seen, n, user, item)
 
 
 def factors_long(vectors: DataFrame, key: str, vec: str) -> DataFrame:
@@ -90,9 +93,9 @@ def recent_mf_user_vectors(recent: DataFrame, item_vectors: DataFrame, user="use
     return s.join(l1, user).select(user, "dim", F.when(F.col("_l1") > 0, F.col("v") / F.col("_l1")).otherwise(0.0).alias("value"))
 
 
-def gram_inverse(item_vectors: DataFrame, vec="features"):
-    """Inverse of the factors' Gram matrix, rank x rank: every task adds up its own rows,
-    the sums of the tasks are added by position."""
+def gram_matrix(item_vectors: DataFrame, vec="features"):
+    """The factors' Gram matrix, rank x rank: every task adds up its own rows, the
+    sums of the tasks are added by position."""
     import numpy as np
     import pyarrow as pa
 
@@ -112,19 +115,26 @@ def gram_inverse(item_vectors: DataFrame, vec="features"):
     gram = np.zeros(rank * rank)
     for c in cells:
         gram[c.cell] = c.v
-    return np.linalg.pinv(gram.reshape(rank, rank))
+    return gram.reshape(rank, rank)
+
+
+def _times(vec, matrix) -> Column:
+    """Row vector times a small fitted matrix (rank rows)."""
+    columns = F.array(*[F.array(*[F.lit(float(x)) for x in column]) for column in matrix.T])
+    return F.transform(columns, lambda c: dot(c, vec))
 
 
 def fold_in_users(recent: DataFrame, item_vectors: DataFrame, user="user_id", item="item_id", vec="features") -> DataFrame:
     """M5 (fold-in): user vector = sum over the recent items of their rows of the
     factors' pseudo-inverse, that is (sum of their factors) times the inverse Gram
     matrix; (user, vec). Recent items without factors are left out."""
-    inverse = gram_inverse(item_vectors, vec)
+    import numpy as np
+
+    inverse = np.linalg.pinv(gram_matrix(item_vectors, vec))
     fl = factors_long(item_vectors.select(F.col(item).alias("_i"), as_double_array(vec).alias("_v")), "_i", "_v")
     s = recent.select(user, F.col(item).alias("_i")).distinct().join(fl, "_i").groupBy(user, "dim").agg(F.sum("v").alias("v"))
     total = s.groupBy(user).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("_s"))   # rank numbers
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in inverse])
-    return total.select(user, F.transform(rows, lambda row: dot(row, F.col("_s"))).alias("vec"))
+    return total.select(user, _times(F.col("_s"), inverse).alias("vec"))
 
 
 def recommend_recent_mf(recent: DataFrame, item_vectors: DataFrame, n: int, fold_in: bool = False, user="user_id",
@@ -146,15 +156,52 @@ def mf_user_clusters(user_factors: DataFrame, k: int = 20, dims: int = 10, iters
     k clusters; (user, cluster)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    to_vec = F.udf(lambda a: Vectors.dense(a), VectorUDT())
-    v = user_factors.select(user, to_vec(vec).alias("_v"))
+    from pyspark.ml.functions import array_to_vector
+    v = user_factors.select(user, array_to_vector(as_double_array(vec)).alias("_v"))
     pca = PCA(k=dims, inputCol="_v", outputCol="_p").fit(v)
     p = pca.transform(v)
     km = KMeans(k=k, maxIter=iters, seed=seed, featuresCol="_p", predictionCol="cluster").fit(p)
     return km.transform(p).select(user, "cluster")
 
 
+def mf_archetypes(user_factors: DataFrame, item_factors: DataFrame, k: int = 20, dims: int = 10, n: int = 200, iters: int = 200,
+                  seed: int = 1, clusters: DataFrame | None = None, user="user_id", item="item_id",
+                  vec="features") -> tuple[DataFrame, DataFrame]:
+    """M6: users are projected on the ``dims`` leading principal axes of the item factors, scaled by
+    the singular values, and clustered (or ``clusters``, (user, cluster), are given); each
+    cluster's mean is mapped back to factors and ranks all items once. Returns (user, cluster) and
+    (cluster, item, score, rank) with the ``n`` best items of each cluster."""
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    values, axes = np.linalg.eigh(gram_matrix(item_factors, vec))
+    lead = np.argsort(-values)[:dims]
+    scale, axes = np.sqrt(np.maximum(values[lead], 0.0)), axes[:, lead]
+    inverse = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 1e-12 * max(scale.max(), 1e-300))
+    placed = user_factors.select(user, _times(as_double_array(vec), axes * scale).alias("_p"))
+    if clusters is None:
+        points = reuse(placed.withColumn("_v", array_to_vector("_p")))
+        model = KMeans(k=k, maxIter=iters, seed=seed, featuresCol="_v", predictionCol="cluster").fit(points)
+        placed = model.transform(points).select(user, "cluster", "_p")
+    else:
+        placed = placed.join(clusters.select(user, "cluster"), user)
+    means = placed.select("cluster", F.posexplode("_p").alias("dim", "v")).groupBy("cluster", "dim").agg(F.avg("v").alias("v")) \
+        .groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("_m"))
+    archetypes = means.select(F.col("cluster").cast("bigint").alias("cluster"), _times(F.col("_m"), inverse[:, None] * axes.T).alias("vec"))
+    items = item_factors.select(item, as_double_array(vec).alias("vec"))
+    none = archetypes.select("cluster", F.lit(None).cast("bigint").alias(item)).limit(0)
+    return placed.select(user, F.col("cluster").cast("bigint").alias("cluster")), top_unseen(items, archetypes, none, n, None, item, "cluster")
+
+
+def recommend_user_cluster(user_clusters: DataFrame, archetype_items: DataFrame, seen: DataFrame, n: int, user="user_id",
+                           item="item_id") -> DataFrame:
+    """M6: the first n unseen items of the user's cluster, scores rescaled to 1."""
+    c = user_clusters.join(archetype_items.select("cluster", item, "score"), "cluster").select(user, item, "score")
+    t = top_k(exclude_seen(c, seen, (user, item)), [user], [F.desc("score"), F.asc(item)], n)
+    return t.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(user)))
+
+
 # ----------------------------------------------------------- topics
 
 def fit_topics(user_tags: DataFrame, k: int = 50, iters: int = 20, seed: int = 1, vocab: int = 10000,

@@ -12,7 +12,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.scalars import require_dims
+from cairn.functions.scalars import has_tag, require_dims
 from cairn.operators.ranking import global_top, top_k
 
 
@@ -82,11 +82,13 @@ def cluster_counts(actions: DataFrame, user_clusters: DataFrame, alpha: float, n
 
 
 def top_counts(cc: DataFrame, limit: int, by: str = "cluster", item_dim: DataFrame | None = None,
-               dims: Sequence[int] | None = None, dim2: int | None = None,
-               cluster="cluster_id", item="item_id") -> DataFrame:
+               dims: Sequence[int] | None = None, dim2: int | None = None, item_tags: DataFrame | None = None,
+               tag: str | None = None, cluster="cluster_id", item="item_id") -> DataFrame:
     """Top decayed counts per cluster (``by='cluster'``) or over all
     clusters (``by='global'``), optionally restricted to items carrying one
-    of ``dims`` (and also ``dim2``)."""
+    of ``dims`` (and also ``dim2``), or ``tag`` in the comma list of ``item_tags``."""
+    if tag is not None:
+        cc = cc.join(item_tags.filter(has_tag("tags", tag)).select(item).distinct(), item, "left_semi")
     if item_dim is not None and dims:
         ok = item_dim.filter(F.col("dim_id").isin(list(dims))).select(item)
         cc = cc.join(ok.distinct(), item, "left_semi")

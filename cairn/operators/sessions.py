@@ -192,3 +192,27 @@ def recommend_ngram(model: DataFrame, actions: DataFrame, k: int, user="user_id"
     cand = j.select(user, F.element_at(F.split("gram", " "), -1).cast("bigint").alias(item), "prob")
     s = cand.groupBy(user, item).agg(F.sum("prob").alias("score"))
     return top_k(s, [user], [F.desc(F.round("score", 9)), F.asc(item)], k)
+
+
+def recommend_ngram_all(model: DataFrame, actions: DataFrame, k: int, n_recent: int = 5, longest: int = 3, user="user_id", item="item_id",
+                        order=("t",), bucket_width: float | None = None) -> DataFrame:
+    """M21 over the whole recent history: every run of 1 to ``longest`` neighbours among the user's
+    last ``n_recent`` items (repeats in a row collapsed) is a prefix; the probabilities of all its
+    continuations in the model are summed per item, a prefix that occurs twice counting twice. Recent
+    items are not recommended. Top k by score, ties by item."""
+    from cairn.operators.ranking import exclude_seen, top_k
+    b = time_bucket(order[0], bucket_width) if bucket_width else None
+    p = with_prev(actions, [user], list(order), [item], b)
+    dedup = p.filter(F.col("prev_" + item).isNull() | (F.col("prev_" + item) != F.col(item)))
+    last = top_k(dedup, [user], [F.desc(o) for o in order], n_recent, rank_col="_r").select(user, item, "_r")
+    # at most n_recent items a user, oldest first
+    seq = last.groupBy(user).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", F.col(item).cast("string").alias("i"))), asc=False),
+                                             lambda x: x["i"]).alias("_s"))
+    sizes = F.filter(F.array(*[F.lit(i) for i in range(1, longest + 1)]), lambda n: n <= F.size("_s"))
+    starts = seq.select(user, "_s", F.explode(sizes).alias("_n")) \
+        .select(user, "_s", "_n", F.explode(F.sequence(F.lit(1), F.size("_s") - F.col("_n") + 1)).alias("_at"))
+    hist = starts.select(user, F.concat_ws(" ", F.slice("_s", F.col("_at"), F.col("_n"))).alias("hist"), (F.col("_n") + 1).alias("n"))
+    found = hist.join(model.select("n", "hist", "gram", "prob"), ["n", "hist"])
+    s = found.select(user, F.element_at(F.split("gram", " "), -1).cast("bigint").alias(item), "prob") \
+        .groupBy(user, item).agg(F.round(F.sum("prob"), 9).alias("score"))
+    return top_k(exclude_seen(s, last, (user, item)), [user], [F.desc("score"), F.asc(item)], k)

@@ -45,6 +45,17 @@ def q_c2a(spark, d):
     return C.list_items(items(spark, d), "alpha", 5, 10)
 
 
+@query("c2_list_items_of_dimension", W("dimensions") + """
+SELECT p_partkey AS item_id, p_name AS name, p_type AS type FROM part
+WHERE p_type IN (SELECT value FROM dimensions WHERE attr = 'type' AND dim_id = (SELECT max(dim_id) FROM dimensions))
+ORDER BY p_name, p_partkey DESC LIMIT 10 OFFSET 5""")
+def q_c2d(spark, d):
+    """A page of the items of the last dimension's type."""
+    dims = V.dimensions(spark, d).filter("attr = 'type'").select("dim_id", F.col("value").alias("item_type"))
+    last = dims.agg(F.max("dim_id")).first()[0]
+    return C.list_items_of_dimension(items(spark, d), dims, last, "alpha", 5, 10)
+
+
 @query("c3_items_by_name", "SELECT p_partkey AS item_id, p_name AS name, p_type AS type FROM part WHERE contains(lower(p_name), 'red') ORDER BY p_partkey DESC LIMIT 15")
 def q_c3(spark, d):
     return C.items_by_name(items(spark, d), "RED", 15)
@@ -81,15 +92,29 @@ def q_c6(spark, d):
     return a.unionByName(b).distinct().select("item_id", "dim_id", "attr", "value")
 
 
+def _user_attrs(spark, d):
+    c = V.table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("user_id"), F.lit("segment").alias("attr"), F.col("c_mktsegment").alias("value")) \
+        .unionByName(c.select(F.col("c_custkey").alias("user_id"), F.lit("nation").alias("attr"), F.col("c_nationkey").cast("string").alias("value")))
+
+
 @query("c7_users_with", """
 WITH ua AS (SELECT c_custkey AS user_id, 'segment' AS attr, c_mktsegment AS value FROM customer
             UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer)
 SELECT DISTINCT user_id FROM ua WHERE attr = 'segment' AND value = 'MACHINERY'""")
 def q_c7(spark, d):
-    c = V.table(spark, d, "customer")
-    ua = c.select(F.col("c_custkey").alias("user_id"), F.lit("segment").alias("attr"), F.col("c_mktsegment").alias("value")) \
-        .unionByName(c.select(F.col("c_custkey").alias("user_id"), F.lit("nation").alias("attr"), F.col("c_nationkey").cast("string").alias("value")))
-    return C.users_with(ua, "segment", "MACHINERY")
+    return C.users_with(_user_attrs(spark, d), "segment", "MACHINERY")
+
+
+@query("c7_user_demographics", """
+WITH ua AS (SELECT c_custkey AS user_id, 'segment' AS attr, c_mktsegment AS value FROM customer
+            UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer),
+dm AS (SELECT attr, value, dense_rank() OVER (ORDER BY attr, value) AS demo_id FROM (SELECT DISTINCT attr, value FROM ua))
+SELECT DISTINCT ua.user_id, dm.demo_id, dm.attr, dm.value FROM ua JOIN dm ON dm.attr = ua.attr AND dm.value = ua.value""")
+def q_c7d(spark, d):
+    ua = _user_attrs(spark, d)
+    demos = C.demographics(ua)
+    return C.user_demographics(ua, demos).join(demos, "demo_id")
 
 
 @query("c8_wide_attributes", W("item_attributes") + """

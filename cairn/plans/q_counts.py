@@ -96,6 +96,32 @@ def q_a17d(spark, d):
     return out.select("cluster_id", "item_id", r("count", "count"), "rank")
 
 
+TAG = "red"
+TAGGED = BASE.replace(W("clicks", "item_dim"), W("clicks", "item_dim", "item_tags")) + f""",
+tg AS (SELECT item_id FROM item_tags WHERE regexp_matches(tags, '(^|,)[ ]*{TAG}[ ]*(,|$)'))"""
+
+
+@query("a17_top_counts_tag", TAGGED + """,
+gl AS (SELECT item_id, SUM(count) AS count FROM cc WHERE item_id IN (SELECT item_id FROM tg) GROUP BY item_id),
+rk AS (SELECT *, row_number() OVER (ORDER BY count DESC, item_id) AS rank FROM gl)
+SELECT item_id, round(count, 6) AS count, rank FROM rk WHERE rank <= 20""")
+def q_a17t(spark, d):
+    out = POP.top_counts(cluster_counts(spark, d), 20, by="global", item_tags=V.item_tags(spark, d), tag=TAG)
+    return out.select("item_id", r("count", "count"), "rank")
+
+
+@query("a17_top_counts_tag_two_dims", TAGGED + """,
+f AS (SELECT cc.* FROM cc WHERE item_id IN (SELECT item_id FROM tg) AND item_id IN (SELECT item_id FROM item_dim WHERE dim_id BETWEEN 1 AND 25)
+        AND item_id IN (SELECT item_id FROM item_dim WHERE dim_id = 76)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY count DESC, item_id) AS rank FROM f)
+SELECT cluster_id, item_id, round(count, 6) AS count, rank FROM rk WHERE rank <= 5""")
+def q_a17td(spark, d):
+    """A tag, one of many dimensions (the brands) and a second dimension."""
+    out = POP.top_counts(cluster_counts(spark, d), 5, item_dim=V.item_dim(spark, d), dims=range(1, 26), dim2=76,
+                         item_tags=V.item_tags(spark, d), tag=TAG)
+    return out.select("cluster_id", "item_id", r("count", "count"), "rank")
+
+
 SIG = BASE + f""",
 it AS (SELECT item_id, SUM(count) AS s FROM cc GROUP BY item_id),
 sl AS (SELECT cluster_id, SUM(exp(-greatest({NOW} - t, 0) / {ALPHA})) AS sl FROM cc GROUP BY cluster_id),

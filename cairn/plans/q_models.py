@@ -229,6 +229,53 @@ def q_m5_fold_in(spark, d):
     return out.select("user_id", "item_id", "rank", r("score", "score"))
 
 
+# Given factors: items are the embeddings, user u has those of row u modulo the number of rows.
+FACTORS = """
+uf AS (SELECT c.user_id, e.v FROM (SELECT DISTINCT user_id FROM actions) c JOIN e ON e.vec_id = c.user_id % (SELECT count(*) FROM embeddings))"""
+
+
+def _given_factors(spark, d):
+    items = _emb(spark, d).select(F.col("id").alias("item_id"), F.col("vec").alias("features"))
+    a = V.actions(spark, d)
+    users = a.select("user_id").distinct().withColumn("id", F.pmod("user_id", items.select(F.count(F.lit(1))).scalar()))
+    return a, items, users.join(items.withColumnRenamed("item_id", "id"), "id").select("user_id", "features")
+
+
+@query("m4_recommend_given_factors", W("actions") + f", {UNITS}, {FACTORS}" + """,
+c AS (SELECT uf.user_id, e.vec_id AS item_id, round(list_dot_product(uf.v, e.v), 9) AS score FROM uf, e),
+n AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM actions a WHERE a.user_id = c.user_id AND a.item_id = c.item_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM n)
+SELECT user_id, item_id, rank, round(score, 6) AS score FROM k WHERE rank <= 5""")
+def q_m4_given(spark, d):
+    a, items, users = _given_factors(spark, d)
+    out = M.recommend_factors(users, items, a.select("user_id", "item_id"), 5)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
+
+
+@query("m6_archetype_items", W("actions") + f", {UNITS}, {FACTORS}" + """,
+x AS (SELECT user_id % 7 AS cluster, w.p AS dim, w.x AS v FROM uf, LATERAL (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS p) w),
+m AS (SELECT cluster, dim, avg(v) AS v FROM x GROUP BY ALL),
+g AS (SELECT cluster, list(v ORDER BY dim) AS v FROM m GROUP BY cluster),
+s AS (SELECT g.cluster, e.vec_id AS item_id, round(list_dot_product(g.v, e.v), 9) AS score FROM g, e),
+k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, item_id) AS rank FROM s)
+SELECT cluster, item_id, rank, round(score, 6) AS score FROM k WHERE rank <= 20""")
+def q_m6_archetypes(spark, d):
+    """Given clusters and all axes: an archetype is then the mean of its users' factors."""
+    _, items, users = _given_factors(spark, d)
+    clusters = users.select("user_id", F.pmod("user_id", F.lit(7)).alias("cluster"))
+    _, out = M.mf_archetypes(users, items, dims=64, n=20, clusters=clusters)
+    return out.select("cluster", "item_id", "rank", r("score", "score"))
+
+
+@query("m6_recommend_user_cluster")
+def q_m6_recommend(spark, d):
+    model = M.fit_mf(_ratings(spark, d), rank=12, iters=5, seed=3)
+    users, items = (f.withColumnRenamed("id", name) for f, name in ((model.userFactors, "user_id"), (model.itemFactors, "item_id")))
+    clusters, ranked = M.mf_archetypes(users, items, k=5, dims=4, n=200, iters=20, seed=3)
+    out = M.recommend_user_cluster(clusters, ranked, V.actions(spark, d).select("user_id", "item_id"), 5)
+    return out.select("user_id", "item_id", "rank", r("score", "score"))
+
+
 def _doc_terms(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
     return docs.select("doc_id", F.explode("toks").alias("term")).distinct()

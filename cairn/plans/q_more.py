@@ -39,6 +39,26 @@ def q_m21(spark, d):
     return out.select("user_id", "item_id", r("score", "score"), "rank")
 
 
+@query("m21_recommend_ngram_all", NGRAM_SQL + """,
+p2 AS (SELECT user_id, item_id, t_us, event_id, lag(item_id) OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS pi FROM clicks),
+dd AS (SELECT * FROM p2 WHERE pi IS NULL OR pi <> item_id),
+l5 AS (SELECT user_id, item_id, 6 - row_number() OVER (PARTITION BY user_id ORDER BY t_us DESC, event_id DESC) AS q FROM dd QUALIFY q >= 1),
+hs AS (SELECT user_id, CAST(item_id AS VARCHAR) AS hist, 2 AS n FROM l5 UNION ALL
+       SELECT a.user_id, concat(a.item_id, ' ', b.item_id), 3 FROM l5 a JOIN l5 b ON b.user_id = a.user_id AND b.q = a.q + 1 UNION ALL
+       SELECT a.user_id, concat(a.item_id, ' ', b.item_id, ' ', c.item_id), 4 FROM l5 a JOIN l5 b ON b.user_id = a.user_id AND b.q = a.q + 1
+         JOIN l5 c ON c.user_id = a.user_id AND c.q = a.q + 2),
+cd AS (SELECT hs.user_id, CAST(string_split(model.gram, ' ')[-1] AS BIGINT) AS item_id, model.prob FROM hs JOIN model ON hs.n = model.n AND hs.hist = model.hist),
+sc AS (SELECT user_id, item_id, round(SUM(prob), 9) AS score FROM cd
+       WHERE NOT EXISTS (SELECT 1 FROM l5 WHERE l5.user_id = cd.user_id AND l5.item_id = cd.item_id) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc)
+SELECT user_id, item_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 5""")
+def q_m21_all(spark, d):
+    c = V.clicks(spark, d)
+    model = SS.ngram_model(c, 3, order=("t_us", "event_id"), bucket_width=DAY_US)
+    out = SS.recommend_ngram_all(model, c, 5, order=("t_us", "event_id"), bucket_width=DAY_US)
+    return out.select("user_id", "item_id", r("score", "score"), "rank")
+
+
 @query("a21_doc_vectors", """
 WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents),
 v AS (SELECT term, CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS term_index FROM
