@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import features as FE
+from cairn.operators import hashed_linear as HL
 from cairn.operators import models as M
 from cairn.operators import popularity as POP
 from cairn.operators.recommend import ranked_list
@@ -370,6 +371,63 @@ def q_m27(spark, d):
     return out.select("id", "cls", r("prob", "prob"))
 
 
+BITS = 10
+
+# Features and weights of the query above, in 2**10 buckets.
+@query("m27_linear_score_hashed", f"""
+WITH f0 AS (SELECT doc_id, 'lang_' || lang AS feature, 1.0 AS value FROM documents
+           UNION ALL SELECT doc_id, 'src_' || source, 1.0 FROM documents
+           UNION ALL SELECT doc_id, 'len', ln(1 + n_chars) / 10.0 FROM documents),
+f AS (SELECT doc_id, CAST(('0x' || substr(md5(feature), 1, 8)) AS BIGINT) % {1 << BITS} AS bucket, sum(CAST(value AS DOUBLE)) AS value FROM f0
+      WHERE feature IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+fn AS (SELECT CAST(unnest(range(0, {1 << BITS})) AS VARCHAR) AS feature UNION ALL SELECT 'constant'),
+w AS (SELECT c.cls, fn.feature, (CAST(('0x' || substr(md5(c.cls || '|' || fn.feature), 1, 4)) AS BIGINT) % 200 - 100) / 100.0 AS weight
+      FROM fn, (VALUES ('q0'), ('q1')) c(cls)),
+s AS (SELECT f.doc_id, w.cls, SUM(f.value * w.weight) AS s FROM f JOIN w ON CAST(f.bucket AS VARCHAR) = w.feature GROUP BY ALL),
+p AS (SELECT s.doc_id, s.cls, 1.0 / (1.0 + exp(-(s.s + k.weight))) AS p FROM s JOIN (SELECT cls, weight FROM w WHERE feature = 'constant') k ON s.cls = k.cls)
+SELECT doc_id AS id, cls, round(p / SUM(p) OVER (PARTITION BY doc_id), 6) AS prob FROM p""")
+def q_m27_hashed(spark, d):
+    docs = V.table(spark, d, "documents")
+    f = docs.select(F.col("doc_id").alias("id"), F.explode(F.array(
+        F.struct(F.concat(F.lit("lang_"), "lang").alias("feature"), F.lit(1.0).alias("value")),
+        F.struct(F.concat(F.lit("src_"), "source").alias("feature"), F.lit(1.0).alias("value")),
+        F.struct(F.lit("len").alias("feature"), (F.log(1 + F.col("n_chars")) / 10.0).alias("value")))).alias("f")).select("id", "f.*")
+    names = spark.range(1 << BITS).select(F.col("id").cast("string").alias("feature")).unionByName(
+        spark.createDataFrame([("constant",)], "feature string"))
+    wt = (F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "cls", "feature")), 1, 4), 16, 10).cast("bigint"), F.lit(200)) - 100) / 100.0
+    weights = names.select("feature", F.explode(F.array(F.lit("q0"), F.lit("q1"))).alias("cls")).select("cls", "feature", wt.alias("weight"))
+    return HL.score_hashed(f, weights, ["q0", "q1"], BITS).select("id", "cls", r("prob", "prob"))
+
+
+@query("m26_hashed_linear")
+def q_m26_hashed(spark, d):
+    """Quality of the labelled documents from their words, fitted on the rows whose id is not
+    divisible by 4; every document gets a verdict."""
+    docs = V.table(spark, d, "documents")
+    words = docs.select(F.col("doc_id").alias("id"), FE.tokenize(F.col("text")).alias("w"), "lang", "source")
+    feats = words.select("id", F.explode(F.concat(F.transform("w", lambda x: F.concat(F.lit("w_"), x)),
+                                                  F.array(F.concat(F.lit("l_"), "lang"), F.concat(F.lit("s_"), "source")))).alias("feature")) \
+        .groupBy("id", "feature").agg(F.log1p(F.count(F.lit(1))).alias("value"))
+    lab = V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label")).dropDuplicates(["id"])
+    rows = HL.hashed_rows(feats, docs.select(F.col("doc_id").alias("id")).join(lab, "id", "left"), 16)
+    weights = HL.fit_hashed_linear(rows.filter("label is not null and id % 4 <> 0"), ["0", "1"], 16, epochs=8)
+    return HL.predict_hashed(rows, weights, ["0", "1"]).select("id", "label", "cls", r("prob", "prob"))
+
+
+@query("m30_search_ranges")
+def q_m30_ranges(spark, d):
+    """Logistic regression's penalty and iterations by successive halving; every run as a row."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    rows = VectorAssembler(inputCols=["len", "is_en", "digits"], outputCol="features").transform(_doc_features(spark, d))
+    fit = lambda f, p: LogisticRegression(labelCol="label", **p).fit(f)
+    auc = BinaryClassificationEvaluator(labelCol="label")
+    _, _, log = HL.search_ranges(rows.select("doc_id", "features", "label"), "doc_id", fit, lambda m, f: auc.evaluate(m.transform(f)),
+                                 {"regParam": (1e-4, 1.0, "log"), "maxIter": (5, 40)}, trials=6, keep=3, least_share=1 / 3, seed=3)
+    return log.select("rung", "trial", "share", r("score", "score"), "params", "kept")
+
+
 @query("m33_explain_features")
 def q_m33(spark, d):
     f = _doc_features(spark, d)
