@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import features as FE
 from cairn.operators import hashed_linear as HL
+from cairn.operators import latent as LA
 from cairn.operators import models as M
 from cairn.operators import popularity as POP
 from cairn.operators.recommend import ranked_list
@@ -299,6 +300,14 @@ def q_m17(spark, d):
         .select("id", "other", r("sim", "sim"), "rank")
 
 
+@query("m17_doc_similarity_lsi")
+def q_m17_lsi(spark, d):
+    """tf-idf weights reduced to 16 latent directions, then the 5 nearest documents of every document."""
+    docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
+    w = FE.tfidf(docs, "doc_id", "toks", min_df=2, max_df=0.5)
+    return M.vector_neighbours(LA.lsi(w, 16).withColumnRenamed("doc_id", "id"), 5).select("id", "other", r("sim", "sim"), "rank")
+
+
 @query("m31_predict_rating", """
 WITH e AS (SELECT vec_id, label, CAST(u.v AS DOUBLE) AS v, u.p AS dim FROM embeddings,
            LATERAL (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p) u),
