@@ -5,8 +5,10 @@ work is on classes. MinHash signatures are cut into bands; classes with an equal
 band share a bucket. Candidates come from buckets in rounds: each open bucket
 (one whose members are not all in one component) compares a pivot with its
 other members; what is still open after ``ROUNDS`` is compared in blocks of at
-most ``BLOCK`` members, inside tasks that emit survivors only. So no bucket's
-pairs are ever written out, and no pair of different components is left out.
+most ``BLOCK`` members, inside tasks that hold the members' full sets, verify
+there and emit spanning links only (fewer than the members they read). So no
+bucket's pairs are ever written out, and no pair of different components is
+left out.
 
 A candidate's signatures are read in batches. After each, the posterior
 probability (uniform prior) that the similarity reaches the threshold is bounded;
@@ -38,8 +40,9 @@ BANDS, ROWS = 24, 4  # a pair at 85 % shares no band with probability 2e-8, one
 BATCH = 16
 MISS = 1e-9
 ROUNDS = 2
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20  # members of a block, and shingles of all its sets
 SALTS = 32
+CHUNK = 1 << 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -65,16 +68,30 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.sha256(s.tobytes()).digest()[:16]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    x = s.view(np.uint64)
-    return np.array([((x * a + b) >> np.uint64(32)).min() for a, b in _FAMILY], np.uint32)
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """MinHash signatures of sets that are not empty, one row each."""
+    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    # Runs of sets of about CHUNK hashes, so that the passes stay in the cache.
+    run = np.cumsum(sizes) // CHUNK
+    cuts = np.flatnonzero(np.diff(run)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(sets)]):
+        x = np.concatenate(sets[lo:hi]).view(np.uint64)
+        first = np.cumsum(sizes[lo:hi]) - sizes[lo:hi]
+        h = np.empty_like(x)
+        for k, (m, c) in enumerate(_FAMILY):
+            np.multiply(x, m, out=h)
+            h += c
+            out[lo:hi, k] = np.minimum.reduceat(h, first) >> np.uint64(32)
+    return out
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """The band values of each signature (one row each)."""
+    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(sig), 1))
     for k in range(ROWS):
-        h = (h ^ rows[:, k]) * np.uint64(0xD1342543DE82EF95)
+        h = (h ^ rows[:, :, k]) * np.uint64(0xD1342543DE82EF95)
         h = h ^ (h >> np.uint64(29))
     return h.view(np.int64)
 
@@ -85,20 +102,15 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            key, n, sig, bands = [], [], [], []
-            for i, s in enumerate(shingle_sets(batch)):
-                n.append(len(s))
-                if len(s) and ids[i].is_valid:
-                    mins = signature(s)
-                    key.append(set_key(s))
-                    sig.append(mins.tobytes())
-                    bands.append(band_keys(mins))
-                else:
-                    key.append(None)
-                    sig.append(None)
-                    bands.append(None)
+            sets = list(shingle_sets(batch))
+            at = [i for i, s in enumerate(sets) if len(s) and ids[i].is_valid]
+            key, sig, bands = ([None] * len(sets) for _ in range(3))
+            if at:
+                mins = signatures([sets[i] for i in at])
+                for i, row, band in zip(at, mins, band_keys(mins)):
+                    key[i], sig[i], bands[i] = set_key(sets[i]), row.tobytes(), band
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
+                [ids, pa.array(key, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "sig", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -129,8 +141,20 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), BANDS * ROWS)
 
 
+def _salted(edges: DataFrame, side: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with the one row of ``side`` (a, ...) of their a. A hot
+    ``a`` is dealt over SALTS tasks by its b; a row of ``side`` is copied to those
+    tasks only that hold an edge of it, so there are never more copies than edges."""
+    salt = f"CAST(pmod(xxhash64(b), {SALTS}) AS INT)"
+    used = edges.groupBy("a").agg(F.expr(f"bit_or(shiftleft(1L, {salt}))").alias("used"))
+    copies = side.join(used, "a").withColumn("salt", F.explode(F.expr(
+        f"filter(sequence(0, {SALTS - 1}), i -> (shiftright(used, i) & 1L) = 1L)"))).drop("used")
+    return edges.withColumn("salt", F.expr(salt)).join(copies, ["a", "salt"]).drop("salt")
+
+
 def prune(pairs: DataFrame, sigs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) of the candidate pairs that sequential verification lets through."""
+    """(a, b) of the candidate pairs that sequential verification lets through;
+    many pairs may share their a."""
     bounds = pruning_table(threshold / 100, BANDS * ROWS)
 
     def run(batches):
@@ -142,35 +166,35 @@ def prune(pairs: DataFrame, sigs: DataFrame, threshold: int = THRESHOLD) -> Data
     def side(x):
         return sigs.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
 
-    near = pairs.join(side("b"), "b").join(side("a"), "a") \
+    near = _salted(pairs, side("a")).join(side("b"), "b") \
         .filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs whose full sets reach the threshold; sets are made anew from
-    the texts of the classes in question only."""
+def full_sets(keys: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, s) of the classes ``keys``; sets are made anew from the texts of
+    these classes only."""
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "rep"), "key") \
-        .select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "key binary, s array<bigint>") \
+    wanted = keys.distinct().join(reps.select("key", "rep"), "key").select(F.col("rep").alias("doc_id")).distinct()
+    return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "key binary, s array<bigint>") \
         .dropDuplicates(["key"])
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b") \
-        .join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a") \
-        .withColumn("n", shared) \
-        .filter(100 * F.col("n") >= threshold * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
-def _star(edges: DataFrame, lows: DataFrame) -> DataFrame:
-    """``edges`` (a, b) with the low of a; a hot ``a`` is salted."""
-    salted = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"])
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    keys = pairs.select(F.col("a").alias("key")).distinct().union(pairs.select(F.col("b").alias("key")).distinct())
+    sets = scratch_table(full_sets(keys, reps, docs), "sets")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return _salted(pairs, sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))) \
+        .join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b") \
+        .withColumn("n", shared) \
+        .filter(100 * F.col("n") >= threshold * (F.size("sa") + F.size("sb") - F.col("n"))) \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,10 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lows = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = scratch_table(_star(both.filter("b > a"), lows).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = scratch_table(_salted(both.filter("b > a"), lows).select(F.col("b").alias("a"), F.col("m").alias("b"))
                               .filter("a <> b").distinct(), "large")
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _star(large, lows).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _salted(large, lows).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = scratch_table(small.union(lows.select("a", "m")).distinct(), "small")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen or now[0] == 0:
@@ -191,33 +215,56 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _exact(x: np.ndarray, sizes: np.ndarray, values: np.ndarray, first: np.ndarray, at: np.ndarray, marks: np.ndarray,
+           threshold: int) -> np.ndarray:
+    """Which of the sets ``at`` reach the threshold with the set x. Sets are runs
+    of ``values`` (numbers from 0 on); ``marks`` is all False before and after."""
+    marks[x] = True
+    shared = np.array([np.count_nonzero(marks[values[first[y]:first[y] + sizes[y]]]) for y in at], np.int64)
+    marks[x] = False
+    return at[100 * shared >= threshold * (len(x) + sizes[at] - shared)]
+
+
 def _in_blocks(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Surviving pairs between different components of the open buckets in
-    ``rows`` (band, n, key, root, sig), by pairs of member blocks."""
+    """Links between the components of the open buckets in ``rows`` (band, blocks,
+    key, root, sig, s), by pairs of member blocks. A cell gives only links that
+    join two components not joined in it yet; all its other links follow from
+    them, so they are fewer than its members."""
     bounds = pruning_table(threshold / 100, BANDS * ROWS)
 
     def run(cell, table):
         table = table.combine_chunks()
-        key, root, block = (table.column(c).to_pylist() for c in ("key", "root", "block"))
+        key, block = table.column("key").to_pylist(), np.array(table.column("block"))
+        names = {r: k for k, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
+        root = np.array([names[r] for r in table.column("root").to_pylist()], np.int64)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left = [k for k, x in enumerate(block) if x == i]
-        right = [k for k, x in enumerate(block) if x == j]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         sig = _matrix(table.column("sig"))
+        s = table.column("s").chunk(0) if table.column("s").num_chunks else table.column("s")
+        first = np.asarray(s.offsets)[:-1].astype(np.int64)
+        sizes = np.diff(np.asarray(s.offsets)).astype(np.int64)
+        values = np.unique(np.asarray(s.values), return_inverse=True)[1].reshape(-1)
+        marks = np.zeros(len(values) + 1, bool)
         a, b = [], []
         for x in left:
-            ys = np.array([y for y in right if root[y] != root[x] and (i != j or y > x)], np.int64)
-            if len(ys):
-                for y in ys[survivors(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], bounds)]:
+            ys = right[right > x] if i == j else right
+            ys = ys[root[ys] != root[x]]
+            ys = ys[100 * np.minimum(sizes[ys], sizes[x]) >= threshold * np.maximum(sizes[ys], sizes[x])]
+            if not len(ys):
+                continue
+            ys = ys[survivors(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], bounds)]
+            for y in _exact(values[first[x]:first[x] + sizes[x]], sizes, values, first, ys, marks, threshold):
+                if root[x] != root[y]:
                     a.append(min(key[x], key[y]))
                     b.append(max(key[x], key[y]))
+                    root[root == root[y]] = root[x]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.col("block")
-    cells = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")) \
+    cells = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("i", F.least(own, "other")).withColumn("j", F.greatest(own, "other"))
-    return cells.select("band", "i", "j", "block", "key", "root", "sig").groupBy("band", "i", "j") \
+    return cells.select("band", "i", "j", "block", "key", "root", "sig", "s").groupBy("band", "i", "j") \
         .applyInArrow(run, "a binary, b binary").distinct()
 
 
@@ -230,28 +277,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row of each class: signatures and bands.
     classes = rows.join(reps, (rows["key"] == reps["key"]) & (rows["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["key"])
     classes = scratch_table(classes.select("key", "n_shingles", "sig", "bands"), "signatures")
-    banded = classes.select("key", F.explode("bands").alias("band"))
+    banded = classes.select("key", "n_shingles", F.explode("bands").alias("band"))
 
     links = roots = None
     for turn in range(ROUNDS + 1):
         members = banded.withColumn("root", F.col("key"))
         if roots is not None:
             members = banded.join(roots.select(F.col("a").alias("key"), F.col("b").alias("r")), "key", "left") \
-                .select("band", "key", F.coalesce("r", "key").alias("root"))
+                .select("band", "key", "n_shingles", F.coalesce("r", "key").alias("root"))
         pivot = F.min(F.struct(F.xxhash64("key", F.lit(turn)), F.col("key"), F.col("root")))
         open_ = scratch_table(members.groupBy("band").agg(
-            pivot.alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+            pivot.alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"),
+            F.sum("n_shingles").alias("size"), F.expr(f"bit_or(shiftleft(1L, CAST(pmod(xxhash64(key), {SALTS}) AS INT)))").alias("used"))
             .filter((F.col("lo") != F.col("hi")) & (F.col("n") > (1 if turn == 0 else 2))), "open")
         if open_.isEmpty():
             break
-        inside = members.join(open_.select("band", "n", F.col("p.key").alias("pk"), F.col("p.root").alias("pr")), "band")
+        # A hot band is dealt over SALTS tasks, to which its one row goes along.
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+        each = open_.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> (shiftright(used, i) & 1L) = 1L)"))) \
+            .select("band", "salt", blocks.alias("blocks"), F.col("p.key").alias("pk"), F.col("p.root").alias("pr"))
+        inside = members.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(key), {SALTS}) AS INT)")).join(each, ["band", "salt"])
         if turn < ROUNDS:
-            pairs = prune(inside.filter("root <> pr").select(
-                F.least("key", "pk").alias("a"), F.greatest("key", "pk").alias("b")).distinct(), classes, threshold)
+            pairs = scratch_table(inside.filter("root <> pr").select(F.col("pk").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+            found = scratch_table(verified(scratch_table(prune(pairs, classes, threshold), "near"), reps, texts, threshold), "links")
         else:
-            pairs = _in_blocks(inside.join(classes.select("key", "sig"), "key"), threshold)
-        found = scratch_table(verified(scratch_table(pairs, "pairs"), reps, texts, threshold), "links")
-        links = found if links is None else links.union(found)
+            inside = scratch_table(inside.select("band", "blocks", "key", "root"), "inside")
+            sets = full_sets(inside.select("key"), reps, texts).join(classes.select("key", "sig"), "key")
+            found = scratch_table(_in_blocks(inside.join(sets, "key"), threshold), "links")
+        # Roots of earlier rounds stand for all their links.
+        links = found if roots is None else found.union(roots)
         roots = components(links)
 
     tops = reps.withColumn("root", F.col("key"))
