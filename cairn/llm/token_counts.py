@@ -2,10 +2,13 @@
 
 Totals by (source, lang, tokenizer version) are additive: documents, tokens and
 characters. A batch of signed rows (+1 insert, -1 delete; a revised document is
-both) is summed map-side first and written as one small table under its batch
-name. Writing replaces the batch as a whole, and only a finished write is
-visible, so a batch that is committed again, or retried after a loss, counts
-once. Totals are the sums over all committed batches; ``compact`` folds them.
+both) is summed map-side first and written as one small table to a folder of its own.
+When that write has ended, an empty marker file, made in one step, publishes the
+folder as the batch's; only published folders are read. A commit that fails
+half-way therefore leaves what was published before, a batch that is committed
+again counts once (``replace`` publishes a newer folder instead), and a batch
+asked for but never published is an error. Totals are the sums over all
+committed batches; ``compact`` folds them.
 
 Defined cases: a null text has no tokens and no characters but is a document;
 null keys are a group of their own; repeated rows count each; a group whose
@@ -15,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,21 +58,43 @@ def _sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def commit(path: str, batch: str, rows: DataFrame) -> None:
-    """Write (or replace) one batch; ``batch`` is a name without slashes."""
-    _sums(rows).write.mode("overwrite").parquet(f"{path}/{batch}")
+def _published(spark: SparkSession, path: str) -> dict[str, tuple[int, str]]:
+    """By batch, the latest published version and its folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_published")
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found: dict[str, tuple[int, str]] = {}
+    for f in fs.listStatus(folder) if fs.exists(folder) else ():
+        batch, version, name = f.getPath().getName().rsplit("~", 2)
+        found[batch] = max(found.get(batch, (0, "")), (int(version), name))
+    return found
+
+
+def commit(path: str, batch: str, rows: DataFrame, replace: bool = False) -> None:
+    """Write and publish one batch; ``batch`` is a name without slashes. A batch
+    that is published already stays as it is, unless ``replace``."""
+    spark = rows.sparkSession
+    version = _published(spark, path).get(batch, (0, ""))[0]
+    if version and not replace:
+        return
+    name = uuid.uuid4().hex
+    _sums(rows).write.parquet(f"{path}/{name}")
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_published/{batch}~{version + 1}~{name}")
+    marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(marker, False).close()
 
 
 def totals(spark: SparkSession, path: str, batches: list[str]) -> DataFrame:
     """Sums over the named committed batches; groups without documents go."""
-    parts = [spark.read.schema(SCHEMA).parquet(f"{path}/{b}") for b in dict.fromkeys(batches)]
+    published = _published(spark, path)
+    if lost := [b for b in batches if b not in published]:
+        raise ValueError(f"not committed: {', '.join(lost)}")
+    parts = [spark.read.schema(SCHEMA).parquet(f"{path}/{published[b][1]}") for b in dict.fromkeys(batches)]
     rows = reduce(DataFrame.union, parts, spark.createDataFrame([], SCHEMA))
     return _sums(rows).filter(" OR ".join(f"{c} <> 0" for c in SUMS))
 
 
 def compact(spark: SparkSession, path: str, batches: list[str], into: str) -> list[str]:
     """Fold batches into one; returns the names to use from now on."""
-    commit(path, into, totals(spark, path, batches))
+    commit(path, into, totals(spark, path, batches), replace=True)
     return [into]
 
 

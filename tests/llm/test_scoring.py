@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from cairn.llm import bpe, decontaminate, quality, secrets, token_counts, toxicity
 from cairn.llm.queries import VOCABULARY, op1_toxicity, vocabulary
 
@@ -122,6 +125,23 @@ def test_rollups_are_idempotent(spark, tmp_path):
     assert token_counts.totals(spark, path, [*names, "c"]).count() == 0
 
 
+def test_token_counts_after_a_failed_commit(spark, tmp_path):
+    path, one = str(tmp_path), spark.createDataFrame([(1, "s", "en", "a b")], "doc_id int, source string, lang string, text string")
+    bad = one.withColumn("source", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        token_counts.commit(path, "new", token_counts.inserts(bad))
+    with pytest.raises(ValueError, match="not committed: new"):
+        token_counts.totals(spark, path, ["new"])
+    token_counts.commit(path, "a", token_counts.inserts(one))
+    with pytest.raises(Exception, match="lost"):
+        token_counts.commit(path, "a", token_counts.inserts(bad), replace=True)
+    assert {r.n_docs for r in token_counts.totals(spark, path, ["a"]).collect()} == {1}
+    token_counts.commit(path, "a", token_counts.inserts(one.union(one)))
+    assert {r.n_docs for r in token_counts.totals(spark, path, ["a"]).collect()} == {1}
+    token_counts.commit(path, "a", token_counts.inserts(one.union(one)), replace=True)
+    assert {r.n_docs for r in token_counts.totals(spark, path, ["a"]).collect()} == {2}
+
+
 def test_tokens_equal_the_library(spark):
     import public_tokenizers
     import tiktoken
