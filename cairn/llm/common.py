@@ -4,6 +4,8 @@ vectorised hashing of words and byte strings."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -25,13 +27,62 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+# Spark deletes the shuffle files of a write as soon as the write is done.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Scratch tables of the open scopes, the innermost last: (frame, path) each.
+_scopes: ContextVar[tuple[list, ...]] = ContextVar("scopes", default=())
+
+
+def scratch_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
-    back: the lineage ends there and lost executors re-read files."""
+    back: the lineage ends there and lost executors re-read files. What the
+    write shuffled is deleted with its end. The table goes with the innermost
+    ``scratch_scope``; with ``keep`` with the one around that, if any."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
+    if scopes:
+        scopes[-1].append((table, path))
+    return table
+
+
+def _delete(table: DataFrame, path: str) -> None:
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables of the innermost scope before it ends; to be called
+    when everything that reads them has been written. Other frames stay."""
+    for scope in _scopes.get()[-1:]:
+        for entry in [e for e in scope if any(e[0] is t for t in tables)]:
+            scope.remove(entry)
+            _delete(*entry)
+
+
+@contextmanager
+def scratch_scope():
+    """Scratch tables written inside the block are deleted when it ends. What
+    leaves the block must have been written with ``keep``."""
+    scope: list = []
+    token = _scopes.set((*_scopes.get(), scope))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for entry in scope:
+            _delete(*entry)
 
 
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import gram_hashes, keyed_text, numbered, scratch_table, text_blocks, word_hashes, word_spans
+from cairn.llm.common import gram_hashes, keyed_text, numbered, release, scratch_scope, scratch_table, text_blocks, word_hashes, word_spans
 
 SHINGLE = 5
 THRESHOLD = 85      # percent; the operator's default
@@ -200,7 +200,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every vertex of an edge, but for roots, and the smallest vertex
     of its component, by alternating large and small stars."""
-    seen = None
+    seen, given = None, edges
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lows = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -208,7 +208,8 @@ def components(edges: DataFrame) -> DataFrame:
                               .filter("a <> b").distinct(), "large")
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
         small = _salted(large, lows).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = scratch_table(small.union(lows.select("a", "m")).distinct(), "small")
+        last, edges = edges, scratch_table(small.union(lows.select("a", "m")).distinct(), "small")
+        release(large, *([] if last is given else [last]))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen or now[0] == 0:
             return edges
@@ -268,15 +269,14 @@ def _in_blocks(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         .applyInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; sets
-    with a similarity of ``threshold`` percent or more are linked."""
-    texts = keyed_text(docs, id_col, text_col)
-    rows = scratch_table(signed(texts), "signed")
+def _judged(texts: DataFrame, threshold: int) -> DataFrame:
+    full = scratch_table(signed(texts), "signed")
+    rows = scratch_table(full.select("doc_id", "key", "n_shingles"), "keys")
     reps = scratch_table(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     # One row of each class: signatures and bands.
-    classes = rows.join(reps, (rows["key"] == reps["key"]) & (rows["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["key"])
+    classes = full.join(reps, (full["key"] == reps["key"]) & (full["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["key"])
     classes = scratch_table(classes.select("key", "n_shingles", "sig", "bands"), "signatures")
+    release(full)
     banded = classes.select("key", "n_shingles", F.explode("bands").alias("band"))
 
     links = roots = None
@@ -299,9 +299,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inside = members.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(key), {SALTS}) AS INT)")).join(each, ["band", "salt"])
         if turn < ROUNDS:
             pairs = scratch_table(inside.filter("root <> pr").select(F.col("pk").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-            found = scratch_table(verified(scratch_table(prune(pairs, classes, threshold), "near"), reps, texts, threshold), "links")
+            near = scratch_table(prune(pairs, classes, threshold), "near")
+            release(pairs, open_)
+            found = scratch_table(verified(near, reps, texts, threshold), "links")
+            release(near)
         else:
             inside = scratch_table(inside.select("band", "blocks", "key", "root"), "inside")
+            release(open_)
             sets = full_sets(inside.select("key"), reps, texts).join(classes.select("key", "sig"), "key")
             found = scratch_table(_in_blocks(inside.join(sets, "key"), threshold), "links")
         # Roots of earlier rounds stand for all their links.
@@ -321,6 +325,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; sets
+    with a similarity of ``threshold`` percent or more are linked."""
+    with scratch_scope():
+        return scratch_table(_judged(keyed_text(docs, id_col, text_col), threshold), "components", keep=True)
+
+
 def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row of every component, that of the smallest id (of the smallest text
     hash among rows of that id), and all rows without an id; columns unchanged."""
@@ -328,7 +339,9 @@ def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     key = F.when(F.col(id_col).isNotNull(), F.struct(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(row).alias("row")))
     keyed = rows.select(key.alias("doc_id"), F.col(text_col).alias("text"))
-    gone = near_duplicates(keyed, threshold=threshold).filter("NOT kept").select(F.col("doc_id.row").alias(row))
+    with scratch_scope():
+        judged = near_duplicates(keyed, threshold=threshold)
+        gone = scratch_table(judged.filter("NOT kept").select(F.col("doc_id.row").alias(row)), "near-gone", keep=True)
     return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
