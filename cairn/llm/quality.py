@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import numbered, scratch_table
+from cairn.llm.common import scratch_table
 
 SPACE = " \\t\\n\\x0B\\f\\r"
 
@@ -166,9 +166,11 @@ def js_distance(a: Column, b: Column) -> Column:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts, both distances (null where a test does not apply) and ``kept``."""
+    """Counts, both distances (null where a test does not apply) and ``kept``.
+    The id may be of any type and comes back as it is."""
     measured = scratch_table(measure(docs, id_col, text_col, lang_col), "quality")
-    joined = measured.join(references(measured), "lang", "left")
+    # Written, so that its size decides whether the join broadcasts it.
+    joined = measured.join(scratch_table(references(measured), "references"), "lang", "left")
     n_bins = F.size("word_bins")
     char_distance = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.col("chars"), F.col("ref_chars")))
     word_distance = F.when((F.col("n_words") >= MIN_TEST_WORDS) & (n_bins > 1),
@@ -183,10 +185,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is kept, columns unchanged. Every row is
-    judged by its own text, whatever its id."""
-    rows, row = numbered(docs, "quality-rows")
-    rejected = judge(rows, row).filter("NOT kept").select(F.col("doc_id").alias(row))
-    return rows.join(rejected, row, "left_anti").select(*docs.columns)
+    judged by its own text, whatever its id: the row itself goes through
+    ``judge`` as the id, so that no join brings text and verdict together."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"), F.col("lang"))
+    return judge(rows, "doc").filter("kept").select("doc_id.*")
 
 
 def digest(judged: DataFrame) -> DataFrame:
