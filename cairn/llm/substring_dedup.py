@@ -3,11 +3,12 @@
 Seeds are winnowed anchors: of every ``SIZE`` consecutive words, the least hash
 of its ``GRAM``-word windows (the rightmost of equals), so equal windows of
 ``SIZE`` words choose the same anchor at the same offset, and an anchor that
-occurs once in the corpus rules out every window that chose it. Documents are
-joined on the anchors that occur again; there each match is extended to both
-sides up to the threshold, and extensions are compared with the first occurrence
-of the same words. Windows found earlier are merged into maximal repeats, and
-their words go.
+occurs once in the corpus rules out every window that chose it. The windows of
+one anchor are a run: the anchor extended to both sides as far as it is chosen.
+Documents are joined on the anchors that occur again. Runs of equal words are one
+class, all but its first occurrence go as a whole; where an anchor has several
+classes, their first occurrences are opened and compared window by window.
+Windows found earlier are merged into maximal repeats, and their words go.
 
 "Earlier" is a smaller id, or the same id and a smaller start; occurrences that
 tie (rows of one id with the same start) are not earlier than each other. A null
@@ -22,14 +23,12 @@ id; empty tables give empty results; columns other than id and text are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import gram_hashes, keyed_text, scratch_table, text_blocks, word_hashes, word_spans
+from cairn.llm.common import gram_hashes, keyed_text, release, scratch_scope, scratch_table, text_blocks, word_hashes, word_spans
 
 SIZE = 20
 GRAM = 10
@@ -66,50 +65,59 @@ def anchors_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, chosen(h, SIZE - GRAM + 1)
 
 
-def _flat(rid, ids, rows, **columns) -> pa.RecordBatch:
+def _flat(batch, rows, **columns) -> pa.RecordBatch:
     take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-    arrays = {"rid": rid.take(take), "doc_id": ids.take(take)}
+    arrays = {"rid": batch.column("rid").take(take), "doc_id": batch.column("doc_id").take(take)}
     for name, parts in columns.items():
-        kind = np.int32 if name in ("pos", "start") else np.int64
+        kind = np.int64 if name in ("h", "w", "body") else np.int32
         arrays[name] = pa.array(np.concatenate(parts).astype(kind, copy=False) if parts else np.zeros(0, kind))
     return pa.RecordBatch.from_pydict(arrays)
 
 
-def seeds(texts: DataFrame) -> DataFrame:
-    """(rid, h, pos): every anchor of every text."""
+def anchored_runs(texts: DataFrame) -> DataFrame:
+    """(rid, doc_id, h, back, first, last, body): for every anchor the windows
+    that chose it, their first one's distance before it and the hash of all
+    their words."""
     def run(batches):
         for batch in batches:
-            rows, hs, ps = [], [], []
-            for k, one, _ in documents_words(batch):
+            rows, out = [], {c: [] for c in ("h", "back", "first", "last", "body")}
+            for k, one, two in documents_words(batch):
                 h, at = anchors_of(one)
-                at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                last = np.concatenate([first[1:], [len(at)]]) - 1
+                at = at[first]
                 rows.append(np.full(len(at), k))
-                hs.append(h[at].view(np.int64))
-                ps.append(at)
-            yield _flat(batch.column("rid"), batch.column("doc_id"), rows, h=hs, pos=ps).select(["rid", "h", "pos"])
+                body = gram_hashes(two, first, last + SIZE, 1)
+                for name, v in (("h", h[at].view(np.int64)), ("back", at - first), ("first", first), ("last", last),
+                                ("body", body.view(np.int64))):
+                    out[name].append(v)
+            yield _flat(batch, rows, **out)
 
-    return texts.mapInArrow(run, "rid bigint, h bigint, pos int")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"rid bigint, doc_id {kind}, h bigint, back int, first int, last int, body bigint")
 
 
-def extensions(seeded: DataFrame, id_type: str) -> DataFrame:
-    """(rid, doc_id, h, w, start): every window that chose a repeated anchor,
-    by the anchor's hash and the hash of its words."""
+def windows_of(opened: DataFrame) -> DataFrame:
+    """(rid, doc_id, h, w, start): every window of the runs, by the hash of its
+    anchor and of its words."""
     def run(batches):
         for batch in batches:
             rows, hs, ws, ss = [], [], [], []
-            positions = batch.column("positions")
+            todo = batch.column("runs")
             for k, one, two in documents_words(batch):
                 h, at = anchors_of(one)
-                again = np.zeros(len(h), bool)
-                again[positions[int(k)].values.to_numpy(zero_copy_only=False)] = True
-                start = np.flatnonzero(again[at])
+                v = todo[int(k)].values
+                first, last = (v.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last"))
+                n = last - first + 1
+                start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 rows.append(np.full(len(start), k))
                 hs.append(h[at[start]].view(np.int64))
                 ws.append(gram_hashes(two, start, start + SIZE, 1).view(np.int64))
                 ss.append(start)
-            yield _flat(batch.column("rid"), batch.column("doc_id"), rows, h=hs, w=ws, start=ss)
+            yield _flat(batch, rows, h=hs, w=ws, start=ss)
 
-    return seeded.mapInArrow(run, f"rid bigint, doc_id {id_type}, h bigint, w bigint, start int")
+    kind = opened.schema["doc_id"].dataType.simpleString()
+    return opened.mapInArrow(run, f"rid bigint, doc_id {kind}, h bigint, w bigint, start int")
 
 
 def with_row_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,23 +125,39 @@ def with_row_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed_text(docs, id_col, text_col).withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
-def repeated_starts(texts: DataFrame) -> DataFrame:
-    """(rid, starts): windows of each text whose words start earlier, too."""
-    found = seeds(texts)
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    spots = found.join(scratch_table(again, "seeds"), "h", "left_semi").groupBy("rid").agg(F.collect_set("pos").alias("positions"))
-    windows = scratch_table(extensions(texts.join(spots, "rid"), texts.schema["doc_id"].dataType.simpleString()), "windows")
+def repeated_anchors(every: DataFrame) -> DataFrame:
+    """The runs ``every``, a scratch table that goes, whose anchor ``h`` occurs again."""
+    again = scratch_table(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors")
+    found = scratch_table(every.join(again, "h", "left_semi"), "runs")
+    release(every, again)
+    return found
+
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
+    """(rid, gone): runs (first, last) of starts of windows whose words start
+    earlier, too."""
+    found = repeated_anchors(scratch_table(anchored_runs(texts), "all-runs"))
+    key, place = ["h", "back", "more", "body"], F.struct("doc_id", "first")
+    shaped = found.withColumn("more", F.expr("last - first"))
+    classes = scratch_table(shaped.groupBy(*key).agg(F.min(place).alias("lead"), F.count("*").alias("n")), "classes")
+    mixed = scratch_table(classes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "mixed")
+    whole = scratch_table(shaped.join(classes.filter("n > 1"), key).filter(place > F.col("lead")).select("rid", "first", "last"), "whole")
+    leads = shaped.join(classes.join(mixed, "h", "left_semi"), key).filter(~(place > F.col("lead"))) \
+        .groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    windows = scratch_table(windows_of(texts.join(scratch_table(leads, "leads"), "rid").select("rid", "doc_id", "text", "runs")), "windows")
+    release(found, classes, mixed)
     place = F.struct("doc_id", "start")
-    firsts = windows.groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = windows.join(scratch_table(firsts, "firsts"), ["h", "w"]).filter(place > F.col("first"))
-    return later.groupBy("rid").agg(F.collect_set("start").alias("starts"))
+    firsts = windows.groupBy("h", "w").agg(F.min(place).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = windows.join(scratch_table(firsts, "firsts"), ["h", "w"]).filter(place > F.col("lead")) \
+        .select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
+    return whole.union(later).groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
 
 
-def covered(starts: np.ndarray, n: int) -> np.ndarray:
-    """Words inside the windows at ``starts``."""
+def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Words inside the windows that start from ``first`` to ``last``."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + SIZE, n), -1)
+    np.add.at(step, first, 1)
+    np.add.at(step, last + SIZE, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -146,12 +170,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for batch in batches:
             n, spans, kept = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts")):
+            for text, found in zip(batch.column("text"), batch.column("gone")):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
                 runs = []
-                if starts.is_valid:
-                    gone = covered(starts.values.to_numpy(zero_copy_only=False).astype(np.int64), len(words))
+                if found.is_valid:
+                    gone = covered(*(found.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last")), len(words))
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                     runs = [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
@@ -162,7 +186,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "n_words", "spans", "kept_text"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.join(repeated_starts(texts), "rid", "left").select("doc_id", "text", "starts").mapInArrow(
+    with scratch_scope():
+        gone = scratch_table(repeated_runs(texts), "gone", keep=True)
+    return texts.join(gone, "rid", "left").select("doc_id", "text", "gone").mapInArrow(
         run, f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept_text string")
 
 
