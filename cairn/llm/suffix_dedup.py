@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import byte_table, gram_hashes, scratch_table, text_blocks
-from cairn.llm.substring_dedup import chosen, with_row_id
+from cairn.llm.common import byte_table, gram_hashes, release, scratch_scope, scratch_table, text_blocks
+from cairn.llm.substring_dedup import chosen, repeated_anchors, with_row_id
 
 LENGTH = 200
 HALF = LENGTH // 2
@@ -65,32 +65,15 @@ def _columns(rid, rows, **parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out)
 
 
-def samples(texts: DataFrame) -> DataFrame:
-    """(rid, h, pos): rank and position of every sampled suffix."""
-    def run(batches):
-        for batch in batches:
-            rows, hs, ps = [], [], []
-            for k, data in long_texts(batch):
-                h, at, _, _ = sampled(data)
-                rows.append(np.full(len(at), k))
-                hs.append(h[at].view(np.int64))
-                ps.append(at)
-            yield _columns(batch.column("rid"), rows, h=(np.int64, hs), pos=(np.int32, ps))
-
-    return texts.mapInArrow(run, "rid bigint, h bigint, pos int")
-
-
-def runs(spotted: DataFrame) -> DataFrame:
-    """(rid, h, back, first, last, body): for every repeated sample, the strings
-    that chose it, their distance before it, and the rank of all their bytes."""
+def runs(texts: DataFrame) -> DataFrame:
+    """(rid, h, back, first, last, body): for every sampled suffix, by its rank,
+    the strings that chose it, their distance before it, and the rank of all
+    their bytes."""
     def run(batches):
         for batch in batches:
             rows, out = [], {c: [] for c in ("h", "back", "first", "last", "body")}
-            positions = batch.column("positions")
             for k, data in long_texts(batch):
                 h, at, first, last = sampled(data)
-                again = np.isin(at, positions[k].values.to_numpy(zero_copy_only=False))
-                at, first, last = at[again], first[again], last[again]
                 body = gram_hashes(byte_table(1)[data], first, last + LENGTH, 1)
                 rows.append(np.full(len(at), k))
                 for name, v in (("h", h[at].view(np.int64)), ("back", at - first), ("first", first), ("last", last),
@@ -99,7 +82,7 @@ def runs(spotted: DataFrame) -> DataFrame:
             yield _columns(batch.column("rid"), rows, **{
                 n: (np.int64 if n in ("h", "body") else np.int32, v) for n, v in out.items()})
 
-    return spotted.mapInArrow(run, "rid bigint, h bigint, back int, first int, last int, body bigint")
+    return texts.mapInArrow(run, "rid bigint, h bigint, back int, first int, last int, body bigint")
 
 
 def pairs(expanded: DataFrame) -> DataFrame:
@@ -125,20 +108,20 @@ def pairs(expanded: DataFrame) -> DataFrame:
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
     """(rid, gone): runs (first, last) of starts of repeated strings."""
-    spots = samples(texts)
-    again = scratch_table(spots.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "ranks")
-    positions = spots.join(again, "h", "left_semi").groupBy("rid").agg(F.collect_set("pos").alias("positions"))
-    found = scratch_table(runs(texts.join(positions, "rid").select("rid", "text", "positions")), "runs")
+    found = repeated_anchors(scratch_table(runs(texts.select("rid", "text")), "all-runs"))
     shape = ["h", "back", F.expr("last - first").alias("more"), "body"]
     key = ["h", "back", "more", "body"]
     shaped = found.select("rid", "first", "last", *shape)
     classes = scratch_table(shaped.groupBy(*key).agg(
         F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "classes")
-    whole = shaped.join(classes.filter("n > 1").select(*key), key, "left_semi").select("rid", "first", "last")
+    whole = scratch_table(shaped.join(classes.filter("n > 1").select(*key), key, "left_semi").select("rid", "first", "last"), "whole")
+    release(found)
     # Samples whose runs differ go on, one run of each class.
     mixed = scratch_table(classes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "mixed")
     open_ = classes.join(mixed, "h", "left_semi").select("one.*", (F.col("n") > 1).alias("settled")) \
         .groupBy("rid").agg(F.collect_list(F.struct("first", "last", "settled")).alias("runs"))
+    open_ = scratch_table(open_, "open")
+    release(classes, mixed)
     ranked = scratch_table(pairs(texts.dropDuplicates(["rid"]).join(open_, "rid").select("rid", "text", "runs")), "pairs")
     twice = scratch_table(ranked.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min("settled").alias("all"))
                           .filter("n > 1 AND NOT all").select("r1", "r2"), "twice")
@@ -179,7 +162,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "n_bytes", "spans", "kept"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.join(repeated_runs(texts), "rid", "left").select("doc_id", "text", "gone").mapInArrow(
+    with scratch_scope():
+        gone = scratch_table(repeated_runs(texts), "gone", keep=True)
+    return texts.join(gone, "rid", "left").select("doc_id", "text", "gone").mapInArrow(
         run, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
