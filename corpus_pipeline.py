@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bpe, decontaminate, near_dup, quality, secrets
-from cairn.llm.common import scratch_table
+from cairn.llm.common import release, scratch_scope, scratch_table
 from cairn.llm.queries import vocabulary
 from cairn.plans.views import table
 
@@ -54,10 +54,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. A stage's scratch tables go when its rows are
+    written, its input when its successor's rows are."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    *first, (last, tail) = STAGES
+    with scratch_scope():
+        for name, stage in first:
+            before = docs
+            with scratch_scope():
+                docs = scratch_table(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+            release(before)
+        return scratch_table(tail(spark, docs, sf_dir), last, keep=True)
 
 
 # SQL cannot express byte-pair merges; tests hold the stages against brute force.
