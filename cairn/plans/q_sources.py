@@ -14,6 +14,7 @@ from cairn.plans.oracle import W
 from cairn.plans.registry import query
 from cairn.session import ensure_checkpoint_dir
 from cairn.sources import io as IO
+from cairn.sources.pages import Attribute, extract_attributes
 
 
 def _tmp(spark, what: str) -> str:
@@ -266,6 +267,39 @@ def q_s19(spark, d):
                      F.array_join("bigrams", "|").alias("bigrams"))
 
 
+S19_TEXT = "replace(replace(replace({}, '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+
+
+@query("s19_configured_attributes", S19_SQL + f""",
+y AS (SELECT x.*, {S19_TEXT.format("x.title")} AS title_text, {S19_TEXT.format("x.h1")} AS headline, p.html FROM x JOIN pages p USING (page_id))
+SELECT page_id, baseurl, title_text AS title, headline,
+  NULLIF(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset,
+  NULLIF(regexp_extract(html, '<a href="([^"]*)"', 1), '') AS first_link,
+  {S19_TEXT.format("trim(regexp_replace(regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1), '\\s+', ' ', 'g'))")} AS aside,
+  {S19_TEXT.format("trim(regexp_replace(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '\\s+', ' ', 'g'))")} AS footer, 'none' AS keywords,
+  array_to_string(tags, '|') AS tags,
+  array_to_string(CASE WHEN len(tags) > 1 THEN list_filter(list_transform(range(1, len(tags)), lambda i: tags[i] || ' ' || tags[i + 1]),
+                  lambda b: contains(lower(title_text), b)) ELSE [] END, '|') AS bigrams
+FROM y WHERE title IS NOT NULL AND h1 IS NOT NULL""")
+def q_s19_configured(spark, d):
+    attributes = [Attribute("title", "head title", required=True), Attribute("headline", "article h1", required=True),
+                  Attribute("charset", "meta[charset]", take="charset"), Attribute("first_link", "nav li a[href]", take="href"),
+                  Attribute("aside", "body div.ad"), Attribute("footer", "footer"),
+                  Attribute("keywords", "meta[name=keywords]", take="content", default="none")]
+    ok, _ = extract_attributes(V.table(spark, d, "pages"), attributes, tags=Attribute("tags", "nav a"), title="title")
+    return ok.withColumn("tags", F.array_join("tags", "|")).withColumn("bigrams", F.array_join("bigrams", "|")).drop("url")
+
+
+@query("s19_failed_pages", """
+SELECT page_id, url, CASE WHEN contains(html, '<html lang="en">') THEN 'description' ELSE 'english_headline,description' END AS failed
+FROM pages WHERE NOT contains(html, '<meta name="description"')""")
+def q_s19_failed(spark, d):
+    attributes = [Attribute("english_headline", "html[lang=en] article h1", required=True),
+                  Attribute("byline", ".byline", default="unsigned", required=True),
+                  Attribute("description", "meta[name=description]", take="content", required=True)]
+    return extract_attributes(V.table(spark, d, "pages"), attributes)[1]
+
+
 @query("s20_build_dimensions", """
 WITH ev AS (SELECT 'type' AS attr, p_type AS v FROM part UNION ALL SELECT 'brand', p_brand FROM part),
 sch AS (SELECT 'part' AS item_type, attr, 'enum' AS kind, string_agg(DISTINCT v, '|' ORDER BY v) AS enum_values FROM ev GROUP BY attr
