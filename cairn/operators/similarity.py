@@ -5,52 +5,119 @@ matrix. A user with L items contributes L^2 pairs; to keep any single task
 bounded, a user's item list is split into ``ceil(L / chunk)`` hash chunks
 and the pairs of chunk a x chunk b are produced under the join key
 (user, a, b) -- a grid, so every key meets at most ``chunk^2`` pairs and a
-hot user is spread over many tasks. Pair counts are then summed with a
-partial (map-side) aggregate. No list is capped and no pair is dropped.
+hot user is spread over many tasks. What is dealt is one row per list entry
+with the array of its partners, not one row per pair; the pairs are unfolded
+and counted where they arrive. No list is capped and no pair is dropped.
 """
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.ranking import exclude_seen, top_k
 from cairn.session import reuse
 
+HEAVY = 20_000      # keys of an item beyond which its partners are dealt to several tasks
+PAIRS = 2_000_000   # pairs counted by one task, about
+
 
 def user_item_pairs(actions: DataFrame, min_items_per_user: int = 0, min_users_per_item: int = 0,
                     max_users_per_item: int | None = None, user="user_id", item="item_id") -> DataFrame:
     """Distinct (user, item) after the item filter (users per item within
     bounds) and then the user filter (items per user >= min)."""
     p = actions.select(user, item).distinct()
+    if min_users_per_item <= 1 and max_users_per_item is None:      # every item has a user
+        p = p.filter(F.col(item).isNotNull())
+        return p if not min_items_per_user else _users_of_size(p, min_items_per_user, user)
     ic = p.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
     cond = F.col("_n") >= min_users_per_item
     if max_users_per_item is not None:
         cond = cond & (F.col("_n") <= max_users_per_item)
     p = p.join(ic.filter(cond).select(item), item, "left_semi")
-    if min_items_per_user:
-        uc = p.groupBy(user).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") >= min_items_per_user)
-        p = p.join(uc.select(user), user, "left_semi")
-    return p
+    return p if not min_items_per_user else _users_of_size(p, min_items_per_user, user)
 
 
-def co_occurrence(pairs: DataFrame, chunk: int = 2000, key="user_id", item="item_id",
-                  group: tuple = ()) -> DataFrame:
-    """(group..., item1 < item2, co) = number of keys holding both items, via
-    the chunked grid self-join described in the module doc. ``key`` may be a
-    list of columns; ``group`` columns must be determined by the key."""
+def _users_of_size(p: DataFrame, least: int, user: str) -> DataFrame:
+    uc = p.groupBy(user).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") >= least)
+    return p.join(uc.select(user), user, "left_semi")
+
+
+def _narrow(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Integer columns in the narrowest of smallint, int and bigint that holds all their values."""
+    types = dict(df.dtypes)
+    wide = [c for c in dict.fromkeys(cols) if types[c] in ("int", "bigint")]
+    if not wide:
+        return df
+    ends = df.agg(*[f(c).cast("bigint").alias(f"{g}{i}") for i, c in enumerate(wide) for f, g in ((F.min, "a"), (F.max, "b"))]).first()
+    for i, c in enumerate(wide):
+        if ends[f"a{i}"] is not None:
+            fits = [t for t, bits in (("smallint", 15), ("int", 31)) if -(1 << bits) <= ends[f"a{i}"] and ends[f"b{i}"] < 1 << bits]
+            df = df.withColumn(c, F.col(c).cast((fits + ["bigint"])[0]))
+    return df
+
+
+def _pair_lists(pairs: DataFrame, chunk: int, key, item: str, group: Sequence[str], carry: str | None) -> DataFrame:
+    """(group..., item1, _salt, _others[, _own, _with]): for every entry of a key's list the larger entries, in as many rows
+    as the grid has chunks, placed by (group, item1, _salt). ``_own`` and ``_with`` are the ``carry`` values of item1 and
+    the others. An item of very many keys is dealt by the hash of its partner to several salts."""
     keys = [key] if isinstance(key, str) else list(key)
     grp = list(group)
-    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
-    p = pairs.join(sizes, keys).withColumn(
-        "_s", F.greatest(F.lit(1), F.ceil(F.col("_len") / F.lit(chunk))).cast("int"))
-    p = reuse(p.withColumn("_c", F.pmod(F.xxhash64(F.col(item)), F.col("_s")).cast("int")))  # both grid sides
+    more = [c for c in grp if c not in keys]
+    held = [F.col(item).alias("i")] + ([F.col(carry).alias("n")] if carry else [])
+    p = pairs.filter(F.col(item).isNotNull())
+    for k in keys:
+        p = p.filter(F.col(k).isNotNull())
+    p = reuse(p.select(*keys, *more, item, *([carry] if carry else [])))     # read for the sizes, the lists and the heavy items
+    p = _narrow(p, [item] + ([carry] if carry else []))
+    sizes = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
+    slots = F.greatest(F.lit(1), F.ceil(F.col("_len") / F.lit(chunk))).cast("int")
+    cells = p.join(sizes, keys).withColumn("_s", slots).withColumn("_c", F.pmod(F.xxhash64(F.col(item)), F.col("_s")).cast("int"))
+    cells = reuse(cells.groupBy(*keys, *more, "_s", "_c").agg(F.sort_array(F.collect_list(F.struct(*held))).alias("_l")))
+    heavy = p.groupBy(F.col(item).alias("item1")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HEAVY) \
+        .select("item1", F.ceil(F.col("_n") / F.lit(HEAVY)).cast("int").alias("_salts"))      # at most rows / HEAVY items
     grid = F.sequence(F.lit(0), F.col("_s") - 1)
-    left = p.select(*keys, *[c for c in grp if c not in keys], F.col("_c").alias("_a"),
-                    F.explode(grid).alias("_b"), F.col(item).alias("item1"))
-    right = p.select(*keys, F.explode(grid).alias("_a"), F.col("_c").alias("_b"), F.col(item).alias("item2"))
-    j = left.join(right, keys + ["_a", "_b"]).filter(F.col("item1") < F.col("item2"))
-    return j.groupBy(*grp, "item1", "item2").agg(F.count(F.lit(1)).alias("co"))
+    many = cells.filter(F.col("_s") > 1)
+    left = many.select(*keys, *more, F.col("_c").alias("_a"), F.explode(grid).alias("_b"), "_l")
+    right = many.select(*keys, F.explode(grid).alias("_a"), F.col("_c").alias("_b"), F.col("_l").alias("_r"))
+    lists = cells.filter(F.col("_s") == 1).select(*grp, "_l", F.col("_l").alias("_r")) \
+        .unionAll(left.join(right, keys + ["_a", "_b"]).select(*grp, "_l", "_r"))
+    larger = F.filter("_r", lambda x: x["i"] > F.col("item1"))
+    own = ["_own"] if carry else []
+    rows = lists.select(*grp, F.explode("_l").alias("_e"), "_r") \
+        .select(*grp, F.col("_e.i").alias("item1"), *([F.col("_e.n").alias("_own")] if carry else []), "_r") \
+        .select(*grp, "item1", *own, larger.alias("_r")).filter(F.size("_r") > 0) \
+        .join(F.broadcast(heavy), "item1", "left") \
+        .withColumn("_salts", F.coalesce("_salts", F.lit(1))) \
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))) \
+        .withColumn("_r", F.when(F.col("_salts") == 1, F.col("_r")).otherwise(
+            F.filter("_r", lambda x: F.pmod(F.xxhash64(x["i"]), F.col("_salts")) == F.col("_salt")))) \
+        .select(*grp, "item1", "_salt", *own, F.col("_r.i").alias("_others"), *([F.col("_r.n").alias("_with")] if carry else []))
+    # as many tasks as keep a task's counts near PAIRS rows, whatever the session's partitions
+    total = cells.agg(F.sum(F.size("_l").cast("double") * F.size("_l") * F.col("_s") / 2)).first()[0] or 0.0
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PAIRS) + 1)
+    return rows.repartition(parts, *grp, "item1", "_salt")
+
+
+def co_occurrence(pairs: DataFrame, chunk: int = 2000, key="user_id", item="item_id",
+                  group: tuple = (), carry: str | None = None) -> DataFrame:
+    """(group..., item1 < item2, co) = number of keys holding both items, via
+    the chunked grid self-join described in the module doc. ``key`` may be a
+    list of columns; ``group`` columns must be determined by the key, and the
+    ``carry`` column, which comes out as <carry>1 and <carry>2, by the item."""
+    lists = _pair_lists(pairs, chunk, key, item, list(group), carry)
+    place, kind = [*group, "item1", "_salt"], dict(pairs.dtypes)
+    out = [*group, *[F.col(c).cast(kind[item]).alias(c) for c in ("item1", "item2")], "co"]
+    if not carry:
+        each = lists.select(*place, F.explode("_others").alias("item2"))
+        return each.groupBy(*place, "item2").agg(F.count(F.lit(1)).alias("co")).select(*out)
+    each = lists.select(*place, "_own", F.explode(F.arrays_zip("_others", "_with")).alias("_e")) \
+        .select(*place, "_own", F.col("_e._others").alias("item2"), F.col("_e._with").alias("_with"))
+    return each.groupBy(*place, "item2").agg(F.count(F.lit(1)).alias("co"), F.first("_own").alias("_o"), F.first("_with").alias("_w")) \
+        .select(*out, F.col("_o").cast(kind[carry]).alias(f"{carry}1"), F.col("_w").cast(kind[carry]).alias(f"{carry}2"))
 
 
 def item_similarity(actions: DataFrame, limit: int = 100, threshold: float = 0.0,
@@ -61,10 +128,9 @@ def item_similarity(actions: DataFrame, limit: int = 100, threshold: float = 0.0
     for item1 < item2 with sim >= threshold; the ``limit`` best item2 per item1."""
     p = reuse(user_item_pairs(actions, min_items_per_user, min_users_per_item, max_users_per_item, user, item))
     n = p.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
-    co = co_occurrence(p, chunk, user, item)
-    s = co.join(n.select(F.col(item).alias("item1"), F.col("_n").alias("_n1")), "item1") \
-        .join(n.select(F.col(item).alias("item2"), F.col("_n").alias("_n2")), "item2") \
-        .select("item1", "item2", (F.col("co") / F.sqrt(F.col("_n1") * F.col("_n2"))).alias("sim"))
+    # the items' counts travel with the lists: the pairs are not dealt again to find them
+    co = co_occurrence(p.join(n, item), chunk, user, item, carry="_n")
+    s = co.select("item1", "item2", (F.col("co") / F.sqrt(F.col("_n1") * F.col("_n2"))).alias("sim"))
     if threshold > 0:
         s = s.filter(F.col("sim") >= threshold)
     return top_k(s, ["item1"], [F.desc("sim"), F.asc("item2")], limit, rank_col=None)
