@@ -2,7 +2,10 @@
 
 import pytest
 
+from cairn.functions import features as FE
 from cairn.operators import graph as G
+from cairn.operators import models as M
+from cairn.operators import nearest as N
 from cairn.operators import similarity as SIM
 
 
@@ -59,3 +62,32 @@ def test_triangles_send_what_follows(spark):
     t = G.edge_triangles(e)
     assert "slice" in plan(t)
     assert {(r.src, r.dst): r.triangles for r in t.collect()} == {p: c for p, c in want.items() if c}
+
+
+def test_groups_of_a_search_follow_the_cores():
+    """Candidate blocks go to every group: their number follows the cores, and a task's memory bounds them."""
+    assert N._group_size(360, 12, 6) == 30
+    assert N._group_size(3, 12, 6) == 1
+    assert N._group_size(10 ** 6, 12, 51) * 51 * N.BLOCK_ROWS <= N.GROUP_CELLS
+
+
+def test_tfidf_deals_documents_once(spark):
+    docs = spark.createDataFrame([(i, "a b b c".split() + [f"w{i % 4}"]) for i in range(20)] + [(None, ["a"]), (3, ["a", "x"])],
+                                 "doc_id bigint, toks array<string>")
+    w = FE.tfidf(docs.repartition("doc_id"), "doc_id", "toks")
+    assert "hashpartitioning(term" not in plan(w) and "hashpartitioning(doc_id, " + "term" not in plan(w)
+    assert {(r.doc_id, r.term) for r in w.collect()} >= {(3, "x"), (0, "b")}
+
+
+def test_term_vectors_sum_whole_documents(spark):
+    rows = [(d, f"t{(d * j) % 9}") for d in range(8) for j in range(5)]
+    docs, terms = M.random_index_vectors(spark.createDataFrame(rows, "doc_id bigint, term string"), dim=16)
+    assert "posexplode" in plan(terms)
+    of = {}
+    for r in docs.collect():
+        of.setdefault(r.doc_id, {})[r.dim] = r.value
+    want = {}
+    for d, t in set(rows):
+        for i, v in of.get(d, {}).items():
+            want[t, i] = want.get((t, i), 0.0) + v
+    assert {(r.term, r.dim): r.value for r in terms.collect()} == want
