@@ -62,7 +62,7 @@ tw AS (SELECT w.doc_id, w.term, w.w / nr.nr AS weight FROM w JOIN nr ON w.doc_id
 
 
 def _tfidf(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
+    docs = V.table(spark, d, "documents").repartition("doc_id").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
     return FE.tfidf(docs, "doc_id", "toks", min_df=2, max_df=0.9)
 
 
