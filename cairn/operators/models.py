@@ -353,7 +353,12 @@ def random_index_vectors(doc_terms: DataFrame, dim: int = 64, seeds: int = 4, se
              for i in range(seeds)]
     idx = doc_terms.select(key, term, F.explode(F.array(*spots)).alias("_e")).select(key, term, "_e.dim", "_e.v")
     docs = idx.groupBy(key, "dim").agg(F.sum("v").alias("value"))
-    terms = doc_terms.select(key, term).distinct().join(docs, key).groupBy(term, "dim").agg(F.sum("value").alias("value"))
+    # a document's sums as one array: its terms add up dim numbers a row instead of dim rows
+    vecs = docs.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))  # <= dim entries
+    sums = doc_terms.select(key, term).distinct().join(vecs, key).groupBy(term) \
+        .agg(*[F.sum(F.col("_m")[F.lit(i).cast("bigint")]).alias(f"_c{i}") for i in range(dim)])
+    terms = sums.select(term, F.posexplode(F.array(*[F.col(f"_c{i}") for i in range(dim)])).alias("dim", "value")) \
+        .filter(F.col("value").isNotNull()).select(term, F.col("dim").cast("bigint").alias("dim"), "value")
     return docs, terms
 
 
