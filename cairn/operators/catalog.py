@@ -46,9 +46,10 @@ def min_item_after(items: DataFrame, ts_col: str, after) -> DataFrame:
 
 
 def items_from_actions(actions: DataFrame, action_types: DataFrame, type_name: str, limit: int) -> DataFrame:
-    """Per user, items acted on with the named action type, latest first."""
+    """Per user, items acted on with the named action type, latest first. The types are a short
+    configured table: they go to the actions, which are never dealt by type."""
     t = action_types.filter(F.col("name") == type_name).select("type")
-    a = actions.join(t, "type", "left_semi").groupBy("user_id", "item_id").agg(F.max("t").alias("last_t"))
+    a = actions.join(F.broadcast(t), "type", "left_semi").groupBy("user_id", "item_id").agg(F.max("t").alias("last_t"))
     return top_k(a, ["user_id"], [F.desc("last_t"), F.desc("item_id")], limit)
 
 
