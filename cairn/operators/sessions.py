@@ -93,8 +93,9 @@ def session_tags(actions: DataFrame, item_tags: DataFrame, gap: float, min_actio
     are emitted in sorted order."""
     a = filter_users_by_activity(actions, min_actions, max_actions, strict=True, user=user)
     s = sessionize(a, user, t, gap, order=list(seq))
-    j = s.join(item_tags.select(item, F.explode(tokenize_tags("tags")).alias("tag")), item)
-    g = j.groupBy(user, "session_no").agg(F.array_sort(F.collect_list("tag")).alias("_tags"))
+    # an action's tags stay one list: the sort of a session's rows holds one row per action, not per tag
+    j = s.select(user, "session_no", item).join(item_tags.select(item, tokenize_tags("tags").alias("_t")).filter(F.size("_t") > 0), item)
+    g = j.groupBy(user, "session_no").agg(F.array_sort(F.flatten(F.collect_list("_t"))).alias("_tags"))
     return g.filter(F.size("_tags") >= min_tags).select(
         user, "session_no", F.concat_ws(" ", "_tags").alias("tags"))
 
@@ -123,11 +124,13 @@ def history_features(actions: DataFrame, item_tags: DataFrame, start: int, max_n
     """W5 (and W6 with ``only_prev``): for the user's c-th action (0-based,
     start <= c <= max_n) a line of ``i_<tag>`` features of the item followed
     by ``u_<tag>`` features of all earlier actions (or only the previous one)."""
-    j = actions.join(item_tags.select(item, tokenize_tags("tags").alias("_tags")), item)
     w = Window.partitionBy(user).orderBy(*seq)
-    # only the first max_n + 1 actions of a user matter: a WindowGroupLimit
-    # keeps them map-side, so the history windows below see bounded groups
+    # only the first max_n + 1 actions of a user matter, of those whose item has a tag row: they are found on
+    # narrow rows (WindowGroupLimit keeps them map-side) and only then get their tags; an item may have several rows
     from cairn.operators.ranking import top_k
+    a = actions.select(*dict.fromkeys([user, item, *seq])).join(item_tags.select(item), item, "left_semi")
+    first = top_k(a, [user], list(seq), max_n + 1, rank_col=None)
+    j = first.join(item_tags.select(item, tokenize_tags("tags").alias("_tags")), item)
     j = top_k(j, [user], list(seq), max_n + 1, rank_col="_k").withColumn("c", (F.col("_k") - 1).cast("int")).drop("_k")
     if only_prev:
         hist = F.coalesce(F.lag("_tags").over(w), F.array().cast("array<string>"))

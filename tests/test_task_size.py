@@ -1,6 +1,9 @@
 """Figures that must not grow faster than the input: memory of a task, what is dealt, what is worked out twice."""
 
+from cairn.functions import features as FE
 from cairn.operators import catalog as C
+from cairn.operators import sessions as SS
+from cairn.session import size_tasks
 
 
 def plan(df):
@@ -18,3 +21,39 @@ def test_items_from_actions_deals_no_types(spark):
     out = C.items_from_actions(actions, types, "return", 1)
     assert "hashpartitioning(type" not in plan(out)
     assert rows(out.select("user_id", "item_id", "last_t", "rank")) == [(1, 1, 7, 1)]
+
+
+def test_session_tags_are_gathered_as_lists(spark):
+    actions = spark.createDataFrame([(1, i, t) for i, t in [(1, 0), (2, 5), (1, 6), (3, 500), (4, 501)]], "user_id bigint, item_id bigint, t bigint")
+    tags = spark.createDataFrame([(1, "b,a"), (2, "c"), (2, "a"), (3, None), (4, "")], "item_id bigint, tags string")
+    out = SS.session_tags(actions, tags, 100, 1, 100, 1)
+    assert "explode" not in plan(out)
+    assert rows(out) == [(1, 1, "a a a b b c")]
+
+
+def test_history_finds_first_actions_on_narrow_rows(spark):
+    actions = spark.createDataFrame([(u, i, t) for u in (1, None) for t, i in enumerate([9, 1, 2, None, 3, 1])], "user_id bigint, item_id bigint, t bigint")
+    tags = spark.createDataFrame([(1, "a"), (2, "b,c"), (3, "d"), (None, "x")], "item_id bigint, tags string")
+    out = SS.history_features(actions, tags, 1, 2)
+    # the first group limit, lowest in the plan, holds actions without tags
+    assert plan(out).count("WindowGroupLimit") == 4
+    want = [(2, 1, "i_b i_c u_a"), (3, 2, "i_d u_a u_b u_c")]
+    assert sorted((r.item_id, r.c, r.line) for r in out.filter("user_id = 1").collect()) == want
+    assert sorted((r.item_id, r.c, r.line) for r in out.filter("user_id IS NULL").collect()) == want
+    lines, idf = FE.history_tfidf_lines(out, ["user_id", "c"])
+    assert lines.count() == 4 and idf.count() == 6
+
+
+def test_tasks_are_sized_unless_the_session_says_otherwise(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    s = spark.newSession()
+    size_tasks(s)
+    assert int(s.conf.get(name)) >= 1000 and s.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16777216b"
+    own = spark.newSession()
+    own.conf.set(name, "7")
+    size_tasks(own)
+    assert own.conf.get(name) == "7"
+    off = spark.newSession()
+    off.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    size_tasks(off)
+    assert off.conf.get(name, None) is None
