@@ -201,7 +201,9 @@ def recommend_tag_affinity(affinity: DataFrame, tag_counts: DataFrame, seen: Dat
     the tag's top ``per_tag`` items; seen removed; top n rescaled."""
     top = top_k(tag_counts, ["tag"], [F.desc("count"), F.asc(item)], per_tag, rank_col=None)
     top = top.withColumn("_m", F.max("count").over(Window.partitionBy("tag")))
-    j = affinity.select(user, "tag", "affinity").join(top, "tag")
+    # a row of affinity becomes per_tag rows here, of which few share their user and item: they are dealt as
+    # they come, so that the sums are held by tasks of the size of these rows, not of the affinity's
+    j = affinity.select(user, "tag", "affinity").join(top, "tag").repartition(user, item)
     j = j.groupBy(user, item).agg(F.sum(F.col("affinity") * F.col("count") / F.col("_m")).alias("score"))
     return rescale_top(exclude_seen(j, seen, (user, item)), n, user, item)
 

@@ -2,6 +2,7 @@
 
 from cairn.functions import features as FE
 from cairn.operators import catalog as C
+from cairn.operators import recommend as RC
 from cairn.operators import sessions as SS
 from cairn.session import size_tasks
 
@@ -57,3 +58,12 @@ def test_tasks_are_sized_unless_the_session_says_otherwise(spark):
     off.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     size_tasks(off)
     assert off.conf.get(name, None) is None
+
+
+def test_tag_affinity_sums_are_held_where_rows_are_dealt(spark):
+    aff = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "b", 1.0)], "user_id bigint, tag string, affinity double")
+    counts = spark.createDataFrame([("a", 1, 4), ("a", 2, 2), ("b", 2, 5), ("b", 3, 1)], "tag string, item_id bigint, count bigint")
+    seen = spark.createDataFrame([(1, 1), (2, None)], "user_id bigint, item_id bigint")
+    out = RC.recommend_tag_affinity(aff, counts, seen, 2, per_tag=2)
+    assert "REPARTITION_BY_COL" in plan(out)
+    assert [(u, i, round(s, 3)) for u, i, s in rows(out.select("user_id", "item_id", "score"))] == [(1, 2, 1.0), (1, 3, 0.16), (2, 2, 1.0), (2, 3, 0.2)]
