@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import stored
+
 
 def frequent_itemsets(baskets: DataFrame, min_support: float, basket="basket_id", item="item") -> DataFrame:
     """(items sorted array<string>, freq, support) of all frequent itemsets."""
     from pyspark.ml.fpm import FPGrowth
-    tx = baskets.groupBy(basket).agg(F.collect_set(F.col(item).cast("string")).alias("items"))
+    # baskets are counted and mined, itemsets are joined with each other: both are worked out once
+    tx = stored(baskets.groupBy(basket).agg(F.collect_set(F.col(item).cast("string")).alias("items")), "baskets")
     n = tx.agg(F.count(F.lit(1))).scalar()
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(tx)
-    return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq",
-                                     (F.col("freq") / n).alias("support"))
+    return stored(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets") \
+        .select("items", "freq", (F.col("freq") / n).alias("support"))
 
 
 def assoc_rules(baskets: DataFrame, min_support: float = 0.005, min_confidence: float = 0.2,
@@ -59,10 +62,13 @@ def recommend_assoc(rules: DataFrame, baskets: DataFrame, key="user_id", items="
     """M8: each rule scores confidence * lift * |antecedent|; the basket
     (most recent first) is cut to ``max_basket`` items; every subset
     of it that equals a rule antecedent adds the rule's score to the rule's
-    item; scores divided by the user's best. One-item baskets are supported."""
+    item; scores divided by the user's best. One-item baskets are supported. Equal baskets
+    score alike: each different one (of a key's several, all together) is scored once."""
     r = rules.select("antecedent", "consequent",
                      (F.col("confidence") * F.col("lift") * F.size("antecedent")).alias("_s"))
-    cut = baskets.select(key, F.slice(items, 1, max_basket).alias(items))
-    subs = basket_subsets(cut, key, items)
-    j = subs.join(r, "antecedent").groupBy(key, "consequent").agg(F.sum("_s").alias("score"))
-    return j.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(key)))
+    cut = baskets.groupBy(key).agg(F.array_sort(F.collect_list(F.array_sort(F.slice(items, 1, max_basket)))).alias("_all"))
+    kinds = cut.select("_all").distinct()
+    subs = basket_subsets(kinds.select("_all", F.explode("_all").alias(items)), "_all", items)
+    j = subs.join(r, "antecedent").groupBy("_all", "consequent").agg(F.sum("_s").alias("score"))
+    j = j.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("_all")))
+    return cut.join(j, "_all").select(key, "consequent", "score")

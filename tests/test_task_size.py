@@ -1,8 +1,13 @@
 """Figures that must not grow faster than the input: memory of a task, what is dealt, what is worked out twice."""
 
+import re
+
+import pytest
+
 from cairn.functions import features as FE
 from cairn.operators import catalog as C
 from cairn.operators import recommend as RC
+from cairn.operators import rules as RU
 from cairn.operators import sessions as SS
 from cairn.session import size_tasks
 
@@ -67,3 +72,21 @@ def test_tag_affinity_sums_are_held_where_rows_are_dealt(spark):
     out = RC.recommend_tag_affinity(aff, counts, seen, 2, per_tag=2)
     assert "REPARTITION_BY_COL" in plan(out)
     assert [(u, i, round(s, 3)) for u, i, s in rows(out.select("user_id", "item_id", "score"))] == [(1, 2, 1.0), (1, 3, 0.16), (2, 2, 1.0), (2, 3, 0.2)]
+
+
+def test_equal_baskets_are_scored_once(spark):
+    rules = spark.createDataFrame([(["a"], "x", 0.5, 2.0), (["a", "b"], "y", 0.5, 1.0), (["b"], "x", 0.25, 2.0)],
+                                  "antecedent array<string>, consequent string, confidence double, lift double")
+    baskets = spark.createDataFrame([(1, ["b", "a"]), (2, ["a", "b", "c"]), (3, ["a"]), (3, ["b"]), (None, ["a"]), (4, None), (5, [])],
+                                    "user_id bigint, basket array<string>")
+    out = RU.recommend_assoc(rules, baskets, max_basket=2)
+    assert not re.search(r"hashpartitioning\(user_id#\d+L, consequent", plan(out))
+    got = {(r.user_id, r.consequent): r.score for r in out.collect()}
+    assert got == {(1, "x"): 1.0, (1, "y"): pytest.approx(2 / 3), (2, "x"): 1.0, (2, "y"): pytest.approx(2 / 3), (3, "x"): 1.0, (None, "x"): 1.0}
+
+
+def test_itemsets_are_mined_once(spark):
+    baskets = spark.createDataFrame([(b, i) for b in range(20) for i in "ab"[: 1 + b % 2]] + [(None, "a")], "basket_id bigint, item string")
+    sets = RU.frequent_itemsets(baskets, 0.1)
+    assert "ExistingRDD" not in plan(sets)
+    assert {tuple(r["items"]): (r.freq, round(r.support, 4)) for r in sets.collect()} == {("a",): (21, 1.0), ("b",): (10, 0.4762), ("a", "b"): (10, 0.4762)}
