@@ -4,8 +4,7 @@ A selector is a list of steps set apart by blanks, each inside the one before
 (at any depth); a step is a tag name, ``#id``, ``.class`` and ``[attr]`` or
 ``[attr=value]`` in any combination, or ``*``. Tags are read as a stream with a
 stack of open elements: an element ends with its end tag, with that of an
-element around it, or with the page. Only the matching runs in Python, on Arrow
-batches, page by page; defaults, required attributes, tags and bigrams are
+element around it, or with the page. Only the matching runs in Python, page by page; defaults, required attributes, tags and bigrams are
 column expressions.
 
 Defined cases: a null or empty page matches nothing; an end tag without start
@@ -19,7 +18,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,15 +110,13 @@ def matches(html: Column, attributes: Sequence[Attribute]) -> Column:
     """By attribute, the stripped values of all elements that match its selector."""
     selectors = [([parse_step(s) for s in a.selector.split()], a.take) for a in attributes]
 
-    @F.pandas_udf("array<array<string>>")
-    def run(pages: pd.Series) -> pd.Series:
-        out = []
-        for page in pages:
-            m = _Matcher(selectors)
-            m.feed(page or "")
-            m.close()
-            out.append([[_BLANK.sub(" ", "".join(v)).strip(" ") for v in values] for values in m.found])
-        return pd.Series(out, dtype=object)
+    # Rows come a hundred at a time without Arrow, whose batches hold thousands of whole pages.
+    @F.udf("array<array<string>>", useArrow=False)
+    def run(page):
+        m = _Matcher(selectors)
+        m.feed(page or "")
+        m.close()
+        return [[_BLANK.sub(" ", "".join(v)).strip(" ") for v in values] for values in m.found]
 
     return run(html)
 

@@ -10,6 +10,7 @@ from cairn.operators import recommend as RC
 from cairn.operators import rules as RU
 from cairn.operators import sessions as SS
 from cairn.session import size_tasks
+from cairn.sources.pages import Attribute, matches
 
 
 def plan(df):
@@ -90,3 +91,10 @@ def test_itemsets_are_mined_once(spark):
     sets = RU.frequent_itemsets(baskets, 0.1)
     assert "ExistingRDD" not in plan(sets)
     assert {tuple(r["items"]): (r.freq, round(r.support, 4)) for r in sets.collect()} == {("a",): (21, 1.0), ("b",): (10, 0.4762), ("a", "b"): (10, 0.4762)}
+
+
+def test_pages_come_in_short_batches(spark):
+    pages = spark.createDataFrame([("<p>a <b>c</b></p>",), (None,), ("<p>x</p><p>y</p>",)], "html string")
+    out = pages.select(matches(pages.html, [Attribute("p", "p")]).alias("m"))
+    assert "ArrowEvalPython" not in plan(out)
+    assert [r.m for r in out.collect()] == [[["a c"]], [[]], [["x", "y"]]]
