@@ -69,6 +69,15 @@ def _published(spark: SparkSession, path: str) -> dict[str, tuple[int, str]]:
     return found
 
 
+def _claimed(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether this is the first write of the batch, whose folder bears the batch's name; later ones
+    (of a retry, or of a new version) get folders of their own."""
+    if batch.startswith(("_", ".")):
+        return False
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claimed/{batch}")
+    return claim.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).createNewFile(claim)
+
+
 def commit(path: str, batch: str, rows: DataFrame, replace: bool = False) -> None:
     """Write and publish one batch; ``batch`` is a name without slashes. A batch
     that is published already stays as it is, unless ``replace``."""
@@ -76,7 +85,7 @@ def commit(path: str, batch: str, rows: DataFrame, replace: bool = False) -> Non
     version = _published(spark, path).get(batch, (0, ""))[0]
     if version and not replace:
         return
-    name = uuid.uuid4().hex
+    name = batch if _claimed(spark, path, batch) else uuid.uuid4().hex
     _sums(rows).write.parquet(f"{path}/{name}")
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_published/{batch}~{version + 1}~{name}")
     marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(marker, False).close()
