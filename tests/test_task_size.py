@@ -6,6 +6,7 @@ import pytest
 
 from cairn.functions import features as FE
 from cairn.operators import catalog as C
+from cairn.operators import ranking as RK
 from cairn.operators import recommend as RC
 from cairn.operators import rules as RU
 from cairn.operators import sessions as SS
@@ -93,6 +94,20 @@ def test_itemsets_are_mined_once(spark):
     assert {tuple(r["items"]): (r.freq, round(r.support, 4)) for r in sets.collect()} == {("a",): (21, 1.0), ("b",): (10, 0.4762), ("a", "b"): (10, 0.4762)}
 
 
+def test_unseen_items_of_lists(spark):
+    picks = [(1, "p"), (1, "q"), (2, "q"), (2, "q"), (3, "r"), (None, "p"), (4, None)]
+    lists = [("p", 1), ("p", 2), ("q", 2), ("q", 3), ("q", None), ("q", 3), ("r", 9), (None, 7)] + [("r", i) for i in range(100, 200)]
+    seen = [(1, 2), (2, 3), (2, 3), (3, 150), (3, 1), (1, None), (None, 1)]
+    p = spark.createDataFrame(picks, "user_id bigint, k string")
+    ls = spark.createDataFrame(lists, "k string, item_id bigint")
+    s = spark.createDataFrame(seen, "user_id bigint, item_id bigint")
+    out = RK.exclude_seen(p, s, lists=ls)
+    plain = RK.exclude_seen(p.join(ls, "k").select("user_id", "item_id").distinct(), s)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)
+    assert out.columns == plain.columns and sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+    assert plan(out).rstrip().splitlines()[2 if "AdaptiveSparkPlan" in plan(out) else 1].find("Exchange") < 0
+
+
 def test_pages_come_in_short_batches(spark):
     pages = spark.createDataFrame([("<p>a <b>c</b></p>",), (None,), ("<p>x</p><p>y</p>",)], "html string")
     out = pages.select(matches(pages.html, [Attribute("p", "p")]).alias("m"))
