@@ -6,6 +6,7 @@ import pytest
 
 from cairn.functions import features as FE
 from cairn.operators import catalog as C
+from cairn.operators import models as M
 from cairn.operators import ranking as RK
 from cairn.operators import recommend as RC
 from cairn.operators import rules as RU
@@ -94,6 +95,18 @@ def test_itemsets_are_mined_once(spark):
     assert {tuple(r["items"]): (r.freq, round(r.support, 4)) for r in sets.collect()} == {("a",): (21, 1.0), ("b",): (10, 0.4762), ("a", "b"): (10, 0.4762)}
 
 
+def test_cluster_lists_are_not_dealt(spark):
+    clusters = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (None, 1), (4, None), (5, 0), (5, 1)], "user_id bigint, cluster bigint")
+    lists = spark.createDataFrame([(0, 10, 3.0), (0, 11, 2.0), (0, 12, 2.0), (0, None, 1.0), (1, 10, 5.0), (1, 13, 4.0)],
+                                  "cluster bigint, item_id bigint, score double")
+    seen = spark.createDataFrame([(1, 10), (1, 11), (1, 99), (1, None), (3, 10), (3, 10), (None, 10)], "user_id bigint, item_id bigint")
+    out = M.recommend_user_cluster(clusters, lists, seen, 2)
+    assert "hashpartitioning(user_id" in plan(out) and ", item_id" not in "".join(x for x in plan(out).splitlines() if "hashpartitioning" in x)
+    got = {(r.user_id, r.item_id, r["rank"]): r.score for r in out.collect()}
+    assert got == {(1, 12, 1): 1.0, (1, None, 2): 0.5, (2, 10, 1): 1.0, (2, 11, 2): pytest.approx(2 / 3), (3, 13, 1): 1.0,
+                   (None, 10, 1): 1.0, (None, 13, 2): 0.8, (5, 10, 1): 1.0, (5, 13, 2): 0.8}
+
+
 def test_unseen_items_of_lists(spark):
     picks = [(1, "p"), (1, "q"), (2, "q"), (2, "q"), (3, "r"), (None, "p"), (4, None)]
     lists = [("p", 1), ("p", 2), ("q", 2), ("q", 3), ("q", None), ("q", 3), ("r", 9), (None, 7)] + [("r", i) for i in range(100, 200)]
