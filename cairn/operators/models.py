@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.nearest import nearest, top_unseen
 from cairn.operators.ranking import exclude_seen, top_k
-from cairn.session import reuse
+from cairn.session import reuse, stored
 
 MAX_REFERENCE_ROWS = 100_000  # bound for reference sets compared row by row
 
@@ -216,11 +216,14 @@ def recommend_user_cluster(user_clusters: DataFrame, archetype_items: DataFrame,
 def fit_topics(user_tags: DataFrame, k: int = 50, iters: int = 20, seed: int = 1, vocab: int = 10000,
                user="user_id") -> tuple[DataFrame, DataFrame]:
     """M9: LDA over per-user tag documents; returns (user, topic, weight) and
-    (tag, topic, weight) for the 50 best terms per topic (topics 1-based)."""
+    (tag, topic, weight) for the 50 best terms per topic (topics 1-based). ``user_tags`` has a
+    ``tag`` a row, or a list of ``tags``, which is dealt as one row. The documents are stored
+    once: vocabulary, every iteration and the topics read them."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
-    docs = user_tags.groupBy(user).agg(F.collect_list("tag").alias("_t"))
+    words = F.flatten(F.collect_list("tags")) if "tags" in user_tags.columns else F.collect_list("tag")
+    docs = stored(user_tags.groupBy(user).agg(words.alias("_t")), "tag-documents")
     cv = CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=vocab).fit(docs)
     c = cv.transform(docs)
     lda = LDA(k=k, maxIter=iters, seed=seed, featuresCol="_c", topicDistributionCol="_d").fit(c)

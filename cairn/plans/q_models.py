@@ -65,7 +65,8 @@ def q_m6(spark, d):
 
 
 def _user_tags(spark, d):
-    return V.actions(spark, d).select("user_id", "item_id").join(V.item_tag(spark, d), "item_id").select("user_id", "tag")
+    tags = V.item_tag(spark, d).groupBy("item_id").agg(F.collect_list("tag").alias("tags"))
+    return V.actions(spark, d).select("user_id", "item_id").join(tags, "item_id").select("user_id", "tags")
 
 
 @query("m9_fit_topics")

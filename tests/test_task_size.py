@@ -107,6 +107,17 @@ def test_cluster_lists_are_not_dealt(spark):
                    (None, 10, 1): 1.0, (None, 13, 2): 0.8, (5, 10, 1): 1.0, (5, 13, 2): 0.8}
 
 
+def test_topics_of_lists_are_those_of_rows(spark):
+    tags = [(u, t) for u in range(12) for t in ("abc" if u % 2 else "xyz")]
+    single = spark.createDataFrame(tags, "user_id bigint, tag string")
+    listed = spark.createDataFrame([(u, ts) for u in range(12) for ts in ((["a", "b"], ["c"]) if u % 2 else (["x"], ["y", "z"]))],
+                                   "user_id bigint, tags array<string>")
+    for given in (single, listed):
+        users, terms = M.fit_topics(given, k=2, iters=3, seed=1)
+        assert users.count() == 24 and {r.tag for r in terms.collect()} == set("abcxyz")
+        assert "ObjectHashAggregate" not in plan(users)                  # the documents are read back
+
+
 def test_unseen_items_of_lists(spark):
     picks = [(1, "p"), (1, "q"), (2, "q"), (2, "q"), (3, "r"), (None, "p"), (4, None)]
     lists = [("p", 1), ("p", 2), ("q", 2), ("q", 3), ("q", None), ("q", 3), ("r", 9), (None, 7)] + [("r", i) for i in range(100, 200)]
