@@ -19,6 +19,7 @@ from cairn.operators.similarity import recent_items
 from cairn.plans import views as V
 from cairn.plans.oracle import W
 from cairn.plans.registry import query
+from cairn.session import stored
 
 
 def r(c, name):
@@ -189,7 +190,7 @@ SELECT user_id, item_id, place, round(score, 6) AS score,
        row_number() OVER (PARTITION BY user_id ORDER BY place, score DESC NULLS LAST, item_id) AS rank FROM f WHERE least = 0""")
 def q_m15(spark, d):
     """The 20 last items of every user, of which the last five count as seen."""
-    rec = recent_items(V.actions(spark, d), 20)
+    rec = stored(recent_items(V.actions(spark, d), 20), "recent")
     last = rec.filter("recent_rank <= 5").select("user_id", "item_id")
     out = M.sort_by_vectors(rec.select("user_id", "item_id"), _emb(spark, d), last, last)
     return out.select("user_id", "item_id", "place", r("score", "score"), "rank")

@@ -11,6 +11,7 @@ from cairn.operators import ranking as RK
 from cairn.operators import recommend as RC
 from cairn.operators import rules as RU
 from cairn.operators import sessions as SS
+from cairn.plans.registry import load_all
 from cairn.session import size_tasks
 from cairn.sources.pages import Attribute, matches
 
@@ -137,3 +138,14 @@ def test_pages_come_in_short_batches(spark):
     out = pages.select(matches(pages.html, [Attribute("p", "p")]).alias("m"))
     assert "ArrowEvalPython" not in plan(out)
     assert [r.m for r in out.collect()] == [[["a c"]], [[]], [["x", "y"]]]
+
+
+def test_recent_items_of_sorted_lists_are_dealt_once(spark, tmp_path):
+    for name, table in {
+            "lineitem": spark.range(40).selectExpr("id AS l_orderkey", "id % 9 AS l_partkey", "1 AS l_linenumber", "1.0D AS l_quantity", "'A' AS l_returnflag"),
+            "orders": spark.range(40).selectExpr("id AS o_orderkey", "id % 2 AS o_custkey", "timestamp_seconds(id) AS o_orderdate"),
+            "embeddings": spark.range(9).selectExpr("id AS vec_id", "array(1.0F, CAST(id AS FLOAT)) AS embedding", "0 AS label")}.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = load_all()["m15_sort_by_vectors"][0](spark, str(tmp_path))
+    assert "orders.parquet" not in plan(out) and "WindowGroupLimit" not in plan(out)
+    assert sorted(r["rank"] for r in out.collect()) == sorted(2 * list(range(1, 10)))
