@@ -42,6 +42,9 @@ MISS = 1e-9
 ROUNDS = 2
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 20  # members of a block, and shingles of all its sets
 SALTS = 32
+OWN_SALT = f"CAST(pmod(xxhash64(key), {SALTS}) AS INT)"
+USED_SALTS = f"filter(sequence(0, {SALTS - 1}), i -> (shiftright(used, i) & 1L) = 1L)"  # of a bitmap ``used``
+BITS, PAGE = 16, 1 << 15  # bits of a bitmap for each value, and bits of one of its rows
 CHUNK = 1 << 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -147,8 +150,7 @@ def _salted(edges: DataFrame, side: DataFrame) -> DataFrame:
     tasks only that hold an edge of it, so there are never more copies than edges."""
     salt = f"CAST(pmod(xxhash64(b), {SALTS}) AS INT)"
     used = edges.groupBy("a").agg(F.expr(f"bit_or(shiftleft(1L, {salt}))").alias("used"))
-    copies = side.join(used, "a").withColumn("salt", F.explode(F.expr(
-        f"filter(sequence(0, {SALTS - 1}), i -> (shiftright(used, i) & 1L) = 1L)"))).drop("used")
+    copies = side.join(used, "a").withColumn("salt", F.explode(F.expr(USED_SALTS))).drop("used")
     return edges.withColumn("salt", F.expr(salt)).join(copies, ["a", "salt"]).drop("salt")
 
 
@@ -171,18 +173,38 @@ def prune(pairs: DataFrame, sigs: DataFrame, threshold: int = THRESHOLD) -> Data
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
+def might_hold(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is in the one column of ``wanted``, and about one
+    in ``BITS`` of the others, without a shuffle of ``rows``: a bitmap of ``BITS``
+    bits for each wanted value goes to all tasks."""
+    pages = -(-wanted.count() * BITS // PAGE) or 1
+
+    def page(x):
+        return F.pmod(F.xxhash64(x), F.lit(pages))
+
+    def bit(x):
+        return F.pmod(F.shiftrightunsigned(F.xxhash64(x), 32), F.lit(PAGE))
+
+    value = wanted.columns[0]
+    bitmap = wanted.groupBy(page(value).alias("_page")).agg(F.bitmap_construct_agg(bit(value)).alias("_bits"))
+    at = bit(rows[column])
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))) != 0
+    return rows.join(F.broadcast(bitmap), (page(rows[column]) == F.col("_page")) & held, "left_semi")
+
+
 def full_sets(keys: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, s) of the classes ``keys``; sets are made anew from the texts of
-    these classes only."""
+    """(key, s) of the classes ``keys`` and a few others; sets are made anew from
+    the texts of these classes only, where the texts are read: no text is dealt."""
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
 
-    wanted = keys.distinct().join(reps.select("key", "rep"), "key").select(F.col("rep").alias("doc_id")).distinct()
-    return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "key binary, s array<bigint>") \
-        .dropDuplicates(["key"])
+    wanted = scratch_table(keys.distinct().join(reps.select("key", "rep"), "key"), "wanted")
+    sets = might_hold(docs, "doc_id", wanted.select("rep")).select("text").mapInArrow(run, "key binary, s array<bigint>")
+    return might_hold(sets, "key", wanted.select("key")).dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -278,6 +300,12 @@ def _judged(texts: DataFrame, threshold: int) -> DataFrame:
     classes = scratch_table(classes.select("key", "n_shingles", "sig", "bands"), "signatures")
     release(full)
     banded = classes.select("key", "n_shingles", F.explode("bands").alias("band"))
+    # Only bands of two or more classes can ever be open; a hot one is dealt over SALTS tasks.
+    crowd = scratch_table(banded.groupBy("band").agg(F.count("*").alias("n"), F.expr(f"bit_or(shiftleft(1L, {OWN_SALT}))").alias("used"))
+                          .filter("n > 1").drop("n"), "crowd")
+    banded = scratch_table(might_hold(banded, "band", crowd.select("band")).withColumn("salt", F.expr(OWN_SALT))
+                           .join(crowd.withColumn("salt", F.explode(F.expr(USED_SALTS))).drop("used"), ["band", "salt"]).drop("salt"), "crowded")
+    release(crowd)
 
     links = roots = None
     for turn in range(ROUNDS + 1):
@@ -288,15 +316,15 @@ def _judged(texts: DataFrame, threshold: int) -> DataFrame:
         pivot = F.min(F.struct(F.xxhash64("key", F.lit(turn)), F.col("key"), F.col("root")))
         open_ = scratch_table(members.groupBy("band").agg(
             pivot.alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"),
-            F.sum("n_shingles").alias("size"), F.expr(f"bit_or(shiftleft(1L, CAST(pmod(xxhash64(key), {SALTS}) AS INT)))").alias("used"))
+            F.sum("n_shingles").alias("size"), F.expr(f"bit_or(shiftleft(1L, {OWN_SALT}))").alias("used"))
             .filter((F.col("lo") != F.col("hi")) & (F.col("n") > (1 if turn == 0 else 2))), "open")
         if open_.isEmpty():
             break
         # A hot band is dealt over SALTS tasks, to which its one row goes along.
         blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
-        each = open_.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> (shiftright(used, i) & 1L) = 1L)"))) \
+        each = open_.withColumn("salt", F.explode(F.expr(USED_SALTS))) \
             .select("band", "salt", blocks.alias("blocks"), F.col("p.key").alias("pk"), F.col("p.root").alias("pr"))
-        inside = members.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(key), {SALTS}) AS INT)")).join(each, ["band", "salt"])
+        inside = members.withColumn("salt", F.expr(OWN_SALT)).join(each, ["band", "salt"])
         if turn < ROUNDS:
             pairs = scratch_table(inside.filter("root <> pr").select(F.col("pk").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
             near = scratch_table(prune(pairs, classes, threshold), "near")

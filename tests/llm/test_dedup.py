@@ -112,6 +112,28 @@ def test_near_duplicates(spark, monkeypatch, rounds, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == brute_components(rows)
 
 
+def test_full_sets_deal_no_texts(spark):
+    """All sets asked for come, others in two bitmaps by chance only; no text
+    is shuffled, also if no side is small enough to be broadcast by itself."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(400)] + [(None, "a b"), (3, "other words")]
+    docs = frame(spark, rows)
+    signed = near_dup.signed(docs.select("doc_id", "text")).filter("key IS NOT NULL")
+    reps = signed.filter("n_shingles = 5").selectExpr("key", "doc_id AS rep").localCheckpoint()
+    keys = reps.filter("rep % 40 = 3").select("key")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        sets = near_dup.full_sets(keys, reps, docs.select("doc_id", "text"))
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        got = {bytes(r.key): len(r.s) for r in sets.collect()}
+    finally:
+        spark.conf.set(name, before)
+    want = {bytes(r.key) for r in keys.collect()}
+    assert len(want) == 10 and want <= got.keys() and len(got) < 60 and {got[k] for k in want} == {5}
+    assert "SortMergeJoin" not in plan and "hashpartitioning(doc_id" not in plan
+
+
 def test_pipeline_links_from_eighty_percent(spark):
     """A text of 104 words has 100 shingles; the last k words changed leave
     100 - k of 100 + k: 83 % at k = 9, 78 % at k = 12."""
