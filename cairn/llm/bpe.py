@@ -4,13 +4,13 @@ Encoding. The encoding of every prefix of a piece is unique, and its last token
 follows from the encodings of shorter prefixes: token ``t`` ends the encoding
 of a prefix if ``t`` is a suffix of it and the token before fits, that is, the
 merges leave the two side by side. So the merges compile into a transducer over
-bytes. A state holds, for every open place (a place from which the bytes read
-since then may still grow into a token), the tokens chosen up to there that are
-not written yet. A step drops the places that no token can leave any more;
-tokens that all remaining places share are written, so a token is out as soon
-as the lookahead that its longest rival needs has passed. States are made when
-a text first needs them (determinised lazily), shared by all texts of a task and
-dropped together when they exceed a fixed number.
+bytes of two passes. A state of the forward pass holds every open place (a place
+from which the bytes read since then may still grow into a token) and the token
+before it; a step drops the places that no token can leave any more and gives
+the last token of the prefix. The backward pass walks from token to token.
+States are made when a text first needs them (determinised lazily), shared by
+all texts of a task and dropped together when they, or the steps between them,
+exceed a fixed number.
 
 Decoding. Token ids give bytes; an incremental UTF-8 state machine turns the
 byte stream into characters, holding back at most three bytes of an unfinished
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import keyed_text, text_blocks
 
-MAX_STATES = 100_000
-MAX_PIECES = 200_000
+MAX_STATES = 250_000
+MAX_STEPS = 500_000
+MAX_PIECES = 300_000
+_BITS = 24  # of a token's number
+_MASK = (1 << _BITS) - 1
+_NONE = -1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,120 +64,120 @@ def halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
 
 
 class Transducer:
-    """Bytes of one piece to token ids. ``_step[state * 256 + byte]`` gives the next
-    state and the tokens written; ``_flush[state]`` the tokens left at the end.
+    """Bytes of one piece to token ids, in two passes. Forward, ``_step[state | byte]``
+    (states are numbered in steps of 256) gives the next state and, in its low
+    bits, the last token of the encoding of the prefix read so far; backward, each
+    token so found leads to the prefix before it.
 
-    A state is (last written token, bytes since the earliest open place, open
-    places): each open place is its distance from the end and its unwritten
-    tokens. The last written token only stands there while some open place has
-    no unwritten token of its own."""
+    A state is its open places, the earliest first, each one number: the node of
+    the vocabulary's trie that the bytes since the place lead to, a free byte, and
+    in the low bits the last token before the place, plus 1 (0: the piece begins
+    there)."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self._fits: dict[tuple[bytes, bytes], bool] = {}
+        self._tokens = {i: t for t, i in ranks.items()}
+        self._sizes = {i: len(t) for t, i in ranks.items()}
+        # The trie: node << 8 | byte to the node there; a node's token (NONE: no token; ~token: not
+        # known yet whether the merges build it); whether a node goes on.
+        self._child: dict[int, int] = {}
+        self._token, self._open = [_NONE], bytearray(1)
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                self._open[node] = 1
+                to = self._child.get(node << 8 | byte)
+                if to is None:
+                    to = self._child[node << 8 | byte] = len(self._token)
+                    self._token.append(_NONE)
+                    self._open.append(0)
+                node = to
+            self._token[node] = i if len(t) == 1 else ~i
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = (None, b"", ((0, ()),))
+        start = (0,)
         self._states = [start]
         self._ids = {start: 0}
-        self._step: dict[int, tuple[int, tuple]] = {}
-        self._flush: dict[int, tuple] = {}
+        self._step: dict[int, int] = {}
 
-    def _parts(self, t: bytes) -> tuple[bytes, bytes] | None:
+    def _parts(self, t: int) -> tuple[int, int] | None:
         try:
             return self._halves[t]
         except KeyError:
-            got = self._halves[t] = halves(t, self.ranks)
+            two = halves(self._tokens[t], self.ranks)
+            got = self._halves[t] = two and (self.ranks[two[0]], self.ranks[two[1]])
             return got
 
-    def _fit(self, a: bytes, b: bytes) -> bool:
+    def _fit(self, a: int, b: int) -> bool:
         """Whether the merges leave the two tokens side by side. The merges of
         both that touch the border are undone, the latest first; the tokens do
         not fit if the parts at the border would have merged before that. Of
         equal ranks the left merge comes first."""
-        fit = self._fits.get((a, b))
-        if fit is None:
-            if len(self._fits) >= MAX_PIECES:
-                self._fits.clear()
-            x, y, ranks, before = a, b, self.ranks, 1 << 62
-            fit = True
-            while fit := ranks.get(x + y, 1 << 62) >= before:
-                left, right = self._parts(x), self._parts(y)
-                if left is None and right is None:
-                    break
-                if right is None or left is not None and ranks[x] > ranks[y]:
-                    before, x = ranks[x], left[1]
-                else:
-                    before, y = ranks[y] + 1, right[0]
-            self._fits[a, b] = fit
+        if len(self._fits) >= MAX_PIECES:
+            self._fits.clear()
+        x, y, rank, tokens, before = a, b, self.ranks.get, self._tokens, 1 << 62
+        while fit := rank(tokens[x] + tokens[y], 1 << 62) >= before:
+            left, right = self._parts(x), self._parts(y)
+            if left is None and right is None:
+                break
+            if right is None or left is not None and x > y:
+                before, x = x, left[1]
+            else:
+                before, y = y + 1, right[0]
+        self._fits[a + 1 << _BITS | b] = fit
         return fit
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple]:
-        last, tail, places = self._states[state]
-        tail += bytes((byte,))
-        ranks, prefixes, n = self.ranks, self.prefixes, len(tail) - 1
-        end, live = None, []
-        for back, chain in places:
-            token = tail[n - back:]
-            if end is None and token in ranks and (back == 0 or self._parts(token)):
-                before = chain[-1] if chain else last
-                if before is None or self._fit(before, token):
-                    end = chain + (token,)
-            if token in prefixes:
-                live.append((back + 1, chain))
-        if end is None:
+    def _advance(self, state: int, byte: int) -> int:
+        child, token_at, goes_on, fits = self._child.get, self._token, self._open, self._fits.get
+        end, live = -1, []
+        for place in self._states[state >> 8]:
+            to = child(place >> _BITS | byte)
+            if to is None:
+                continue
+            last = place & _MASK
+            if end < 0 and (token := token_at[to]) != _NONE:
+                if token < 0:
+                    token = token_at[to] = ~token if self._parts(~token) else _NONE
+                if token != _NONE:
+                    fit = last == 0 or fits(last << _BITS | token)
+                    if fit or fit is None and self._fit(last - 1, token):
+                        end = token
+            if goes_on[to]:
+                live.append(to << _BITS + 8 | last)
+        if end < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        live.append((0, end))
-        # Tokens that every open place shares are settled.
-        written = end
-        for _, chain in live:
-            shared = 0
-            for x, y in zip(chain, written):
-                if x != y:
-                    break
-                shared += 1
-            written = written[:shared]
-            if not shared:
-                break
-        if written:
-            last = written[-1]
-            shared = len(written)
-            live = [(back, chain[shared:]) for back, chain in live]
-        live = tuple(live)
-        if all(chain for _, chain in live):
-            last = None
-        new = (last, tail[n + 1 - live[0][0]:], live)  # the earliest place comes first
+        live.append(end + 1)
+        new = tuple(live)
         to = self._ids.get(new)
         if to is None:
-            to = self._ids[new] = len(self._states)
+            to = self._ids[new] = len(self._states) << 8
             self._states.append(new)
-        out = self._step[state << 8 | byte] = (to, tuple([ranks[t] for t in written]))
-        return out
-
-    def _finish(self, state: int) -> tuple:
-        out = self._flush[state] = tuple(self.ranks[t] for t in next(c for back, c in self._states[state][2] if back == 0))
+        out = self._step[state | byte] = to << _BITS | end
         return out
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > MAX_STATES:
+        if len(self._states) > MAX_STATES or len(self._step) > MAX_STEPS:
             self._reset()
-        out: list[int] = []
-        state, step = 0, self._step.get
+        hops, state, step = [], 0, self._step.get
         for byte in piece:
-            hop = step(state << 8 | byte)
+            hop = step(state | byte)
             if hop is None:
                 hop = self._advance(state, byte)
-            state, written = hop
-            if written:
-                out += written
-        flush = self._flush.get(state)
-        return out + list(flush if flush is not None else self._finish(state))
+            hops.append(hop)
+            state = hop >> _BITS
+        out, at, sizes = [], len(hops), self._sizes
+        while at:
+            token = hops[at - 1] & _MASK
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
 
 
 class Utf8Stream:
@@ -206,16 +211,16 @@ class Utf8Stream:
 
 
 class _Pieces(dict):
-    """Ids of the pieces met so far; cleared when full."""
+    """Ids of the pieces met so far, each four bytes; cleared when full."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self._transducer = transducer
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= MAX_PIECES:
             self.clear()
-        ids = self._transducer.encode(piece.encode())
+        ids = array("i", self._transducer.encode(piece.encode())).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -248,14 +253,14 @@ class Codec:
             self._workers[self.key] = (regex.compile(self.pattern).findall, _Pieces(Transducer(ranks)), vocabulary)
         return self._workers[self.key]
 
-    def encode(self, text: str | None) -> list[int]:
+    def ids(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         findall, pieces, _ = self._unfolded()
-        out: list[int] = []
-        for piece in findall(text):
-            out += pieces[piece]
-        return out
+        return np.frombuffer(b"".join(map(pieces.__getitem__, findall(text))), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.ids(text).tolist()
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self._unfolded()[2].__getitem__, ids))
@@ -278,7 +283,7 @@ def _encoded(batches, codec: Codec):
     for batch in _parts(batches):
         lengths, values = [0], []
         for text in batch.column("text"):
-            ids = np.array(codec.encode(text.as_py()), np.int32)
+            ids = codec.ids(text.as_py())
             values.append(ids)
             lengths.append(lengths[-1] + len(ids))
         lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(values)))
