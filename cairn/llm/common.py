@@ -94,8 +94,23 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return scratch_table(docs.withColumn(column, F.monotonically_increasing_id()), name), column
 
 
+# Text bytes that go to a Python task at once. JVM and Python hold a batch, its result and what is made of it.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the memory of a Python task not grow with its partition: by default ten
+    thousand texts, often the whole partition, are one batch. Smaller bounds of
+    the session stay."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if BATCH_BYTES < int(str(spark.conf.get(name)).rstrip("bB")):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, under fixed names; other columns never clash."""
+    """Only the id and the text, under fixed names; other columns never clash.
+    They go to Python tasks in batches of bounded size."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 

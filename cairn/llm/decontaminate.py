@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import keyed_text
+from cairn.llm.common import bound_batches, keyed_text
 
 # Normalisation: A-Z lower-cased; words are runs of digits, letters and
 # everything beyond ASCII.
@@ -248,6 +248,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
                   text_col: str = "text") -> DataFrame:
     """``docs`` without the hit spans; a text of which more than ``max_coverage``
     of the words are hit goes altogether. All columns stay as they are."""
+    bound_batches(docs.sparkSession)
     found = matcher(benchmark, window)
     names = docs.columns
     at = names.index(text_col)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import keyed_text
+from cairn.llm.common import bound_batches, keyed_text
 
 
 @dataclass(frozen=True)
@@ -357,6 +357,7 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]", id_col: str = "
     """``docs`` with every secret span of the text replaced by ``mark``
     (touching or overlapping spans by one mark). Null texts stay null; the
     other columns, their names and order stay as they are."""
+    bound_batches(docs.sparkSession)
     scanner = Scanner(rules)
 
     @F.pandas_udf("string")

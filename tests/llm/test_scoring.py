@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, decontaminate, quality, secrets, token_counts, toxicity
+from cairn.llm.common import BATCH_BYTES, keyed_text
 from cairn.llm.queries import VOCABULARY, op1_toxicity, vocabulary
 
 SF = "/root/testdata/sf0.01"
@@ -155,6 +157,35 @@ def test_tokens_equal_the_library(spark):
         i: (lib.encode_ordinary(t or ""), t or "") for i, t in enumerate(texts)}
 
 
+def test_tokens_with_few_states(spark, monkeypatch):
+    """States and the steps between them are dropped together when either is too
+    many, also while words that were never met before keep coming."""
+    import public_tokenizers
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "MAX_STEPS", 500)
+    ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks=ranks)
+    rnd, transducer = random.Random(5), bpe.Transducer(ranks)
+    for _ in range(3000):
+        word = " " + "".join(rnd.choices(["tre", "tion", "è", "ment", "eau", "ou", "ê", "Ai", "qu", "日", "x", "й", "aa"], k=rnd.randint(1, 8)))
+        assert transducer.encode(word.encode()) == lib._encode_single_piece(word)
+        assert len(transducer._step) <= 500 + 40
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Half a partition's texts never make one batch, though there are fewer than
+    Spark's default number of rows."""
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    rows = [r.n for r in keyed_text(docs).mapInArrow(sizes, "n bigint").collect()]
+    assert sum(rows) == 6000 and max(rows) * 5000 < 2 * BATCH_BYTES
+
+
 def brute_secrets(text):
     rules = [("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
              ("access", r"AKIA[A-Z0-9]+", 20, 0), ("hex", r"[0-9a-f]+", 24, 0)]
