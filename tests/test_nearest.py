@@ -178,3 +178,56 @@ def test_dense_ids_are_a_permutation(spark, reuse):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def kept_tables(monkeypatch):
+    found = {}
+    def stored(df, name, real=NE.stored):
+        found[name] = df.columns
+        return real(df, name)
+    monkeypatch.setattr(NE, "stored", stored)
+    return found
+
+
+@pytest.mark.parametrize("drop", [True, False])
+def test_recent_vectors_with_near_twins(spark, monkeypatch, drop):
+    """Only pairs that may be a perfect match have their vectors dealt; scores are those of all pairs."""
+    tables = kept_tables(monkeypatch)
+    m = clustered(9, 120, 6, 40, 0.4)
+    m[50:55] = m[0] * 3                        # perfect matches of item 0
+    m[60] = m[1] + 1e-3
+    u = units(m)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
+    recents = {1: [0, 7, 9], 2: [1, 2], 3: [5], 4: [999]}
+    recent = spark.createDataFrame([(x, i) for x, own in recents.items() for i in own], "user_id bigint, item_id bigint")
+    out = MO.recommend_vectors(vectors, recent, recent, 5, drop).orderBy("user_id", "rank").collect()
+    for x in (1, 2, 3):
+        cos = u @ u[recents[x]].T
+        score = np.round(np.where((np.round(cos, 9) == 1.0) & drop, 0.0, cos).sum(axis=1), 9)
+        want = [i for i in np.lexsort((np.arange(120), -score)) if i not in recents[x]][:5]
+        assert [r.item_id for r in out if r.user_id == x] == want
+        assert np.allclose([r.score for r in out if r.user_id == x], score[want] / score[want[0]], atol=1e-8)
+    assert tables["near"] == ["query", "id", "sim", "raw"] and ("scored" in tables) == drop
+
+
+def test_search_multiplies_in_single_precision_first():
+    search, m = NE._Search(3), units(clustered(10, 70, 9, 4, 1e-4))
+    block = NE._block(0, 0, list(range(70)), [[i, i + 500] if i % 9 == 0 else [i] for i in range(70)], list(m), [-2.0] * 70, 3, True)
+    search.add(block)
+    search.begin()
+    search.visit(block)
+    assert search.single.dtype == np.float32 and len(search.lists) <= 8
+    ids = [i for i in range(70)] + [i + 500 for i in range(0, 70, 9)]
+    want = nearest_by_hand(ids, m[[i % 500 for i in ids]], 3, (np.arange(70), m))
+    for batch in search.found(NE._arrow(NE._FOUND)):
+        for r in batch.to_pylist():
+            assert [x["id"] for x in r["near"]] == [i for i, _ in want[r["class"]]]
+
+
+def test_fold_in_multiplies_outside_of_expressions(spark):
+    items = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, 1.0]), (3, None)], "item_id bigint, features array<double>")
+    recent = spark.createDataFrame([(1, 1), (1, 1), (2, 3)], "user_id bigint, item_id bigint")
+    out = MO.fold_in_users(recent, items.filter("item_id < 3"))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert [r.user_id for r in got] == [1] and np.allclose(got[0].vec, np.linalg.pinv(np.array([[1.0, 2.0], [0.5, 1.0]]))[:, 0])
