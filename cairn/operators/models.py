@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.nearest import nearest, top_unseen
 from cairn.operators.ranking import exclude_seen, top_k
+from cairn.operators.term_lists import TermLists, projected, random_index, term_lists
 from cairn.session import reuse, stored
 
 MAX_REFERENCE_ROWS = 100_000  # bound for reference sets compared row by row
@@ -392,38 +393,25 @@ def centroids(vectors: DataFrame, group: str, vec: str) -> DataFrame:
 
 
 def random_index_vectors(doc_terms: DataFrame, dim: int = 64, seeds: int = 4, seed: int = 1,
-                         key="doc_id", term="term") -> tuple[DataFrame, DataFrame]:
+                         key="doc_id", term="term", dense: bool = False) -> tuple[DataFrame, DataFrame]:
     """M16 (random indexing): each term gets a sparse ternary index vector
     (``seeds`` +1/-1 entries at hashed positions); a document vector is the
     sum of its terms' index vectors; a term vector is the sum of the
     vectors of the documents containing it. Returns (doc, dim, value),
-    (term, dim, value)."""
-    spots = [F.struct(F.pmod(F.xxhash64(F.col(term), F.lit(seed * 1000 + i)), F.lit(dim)).alias("dim"),
-                      F.when(F.pmod(F.xxhash64(F.col(term), F.lit(seed * 7777 + i)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v"))
-             for i in range(seeds)]
-    idx = doc_terms.select(key, term, F.explode(F.array(*spots)).alias("_e")).select(key, term, "_e.dim", "_e.v")
-    docs = idx.groupBy(key, "dim").agg(F.sum("v").alias("value"))
-    # a document's sums as one array: its terms add up dim numbers a row instead of dim rows
-    vecs = docs.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))  # <= dim entries
-    sums = doc_terms.select(key, term).distinct().join(vecs, key).groupBy(term) \
-        .agg(*[F.sum(F.col("_m")[F.lit(i).cast("bigint")]).alias(f"_c{i}") for i in range(dim)])
-    terms = sums.select(term, F.posexplode(F.array(*[F.col(f"_c{i}") for i in range(dim)])).alias("dim", "value")) \
-        .filter(F.col("value").isNotNull()).select(term, F.col("dim").cast("bigint").alias("dim"), "value")
-    return docs, terms
-
-
-def project_weights(weights: DataFrame, key: str, term: str, weight: str, dim: int = 64, seeds: int = 4,
+    (term, dim, value), or with ``dense`` (doc, vec), (term, vec). ``doc_terms`` has a term a row, or a
+    list of ``terms``, whose set is the document's: documents are then summed where they are."""
+    docs, terms = random_index(doc_terms, dim, seeds, seed, key, term)
+    if dense:
+        return tuple(x.withColumn("vec", F.transform("vec", lambda v: F.coalesce(v, F.lit(0.0)))) for x in (docs, terms))
+    return tuple(x.select(name, F.posexplode("vec").alias("dim", "value")).filter(F.col("value").isNotNull())
+                 .select(name, F.col("dim").cast("bigint").alias("dim"), "value") for x, name in ((docs, key), (terms, term)))
+
+
+def project_weights(weights: DataFrame | TermLists, key: str, term: str, weight: str, dim: int = 64, seeds: int = 4,
                     seed: int = 1) -> DataFrame:
-    """Random projection of sparse (key, term, weight) rows onto
+    """Random projection of sparse (key, term, weight) rows, or lists, onto
     ``dim`` dimensions with hashed ternary index vectors; (key, vec array)."""
-    spots = [F.struct(F.pmod(F.xxhash64(F.col(term), F.lit(seed * 1000 + i)), F.lit(dim)).alias("dim"),
-                      F.when(F.pmod(F.xxhash64(F.col(term), F.lit(seed * 7777 + i)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v"))
-             for i in range(seeds)]
-    e = weights.select(key, weight, F.explode(F.array(*spots)).alias("_e"))
-    s = e.groupBy(key, F.col("_e.dim").alias("dim")).agg(F.sum(F.col(weight) * F.col("_e.v")).alias("value"))
-    m = s.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))  # <= dim entries
-    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                     lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0))).alias("vec"))
+    return projected(weights if isinstance(weights, TermLists) else term_lists(weights, key, term, weight), dim, seeds, seed)
 
 
 # ----------------------------------------------------------- anomaly (iNNE)

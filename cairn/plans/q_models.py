@@ -281,8 +281,7 @@ def q_m6_recommend(spark, d):
 
 
 def _doc_terms(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
-    return docs.select("doc_id", F.explode("toks").alias("term")).distinct()
+    return V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("terms"))
 
 
 @query("m16_random_index")
@@ -295,8 +294,8 @@ def q_m16(spark, d):
 def q_m17(spark, d):
     """tf-idf weights projected on random ternary index vectors (64 dims), then
     the 5 nearest documents of every document that has a weight."""
-    docs = V.table(spark, d, "documents").repartition("doc_id").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
-    w = FE.tfidf(docs, "doc_id", "toks", min_df=2, max_df=0.5)
+    docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
+    w = FE.tfidf(docs, "doc_id", "toks", min_df=2, max_df=0.5, lists=True)
     proj = M.project_weights(w, "doc_id", "term", "weight", dim=64)
     return M.vector_neighbours(proj.withColumnRenamed("doc_id", "id"), 5) \
         .select("id", "other", r("sim", "sim"), "rank")
@@ -305,8 +304,8 @@ def q_m17(spark, d):
 @query("m17_doc_similarity_lsi")
 def q_m17_lsi(spark, d):
     """tf-idf weights reduced to 16 latent directions, then the 5 nearest documents of every document."""
-    docs = V.table(spark, d, "documents").repartition("doc_id").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
-    w = FE.tfidf(docs, "doc_id", "toks", min_df=2, max_df=0.5)
+    docs = V.table(spark, d, "documents").select("doc_id", FE.tokenize(F.col("text")).alias("toks"))
+    w = FE.tfidf(docs, "doc_id", "toks", min_df=2, max_df=0.5, lists=True)
     return M.vector_neighbours(LA.lsi(w, 16).withColumnRenamed("doc_id", "id"), 5).select("id", "other", r("sim", "sim"), "rank")
 
 

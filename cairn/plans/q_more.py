@@ -123,17 +123,15 @@ def q_r19(spark, d):
 @query("m32_search_terms")
 def q_m32(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", "lang", FE.tokenize(F.col("text")).alias("toks"))
-    terms = docs.select("doc_id", F.explode("toks").alias("term")).distinct()
-    dv, tv = M.random_index_vectors(terms, dim=64)
+    dv, tv = M.random_index_vectors(docs.select("doc_id", F.col("toks").alias("terms")), dim=64, dense=True)
     # one query per language: the sum of the vectors of its 10 most frequent terms
     freq = docs.select("lang", F.explode("toks").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     from cairn.operators.ranking import top_k
     qt = top_k(freq, ["lang"], [F.desc("n"), F.asc("term")], 10, rank_col=None)
-    qv = qt.join(tv, "term").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
-    def dense(df, key):
-        m = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
-        return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0))).alias("vec"))
-    out = M.search_vectors(dense(dv, "doc_id").withColumnRenamed("doc_id", "id"), dense(qv, "lang").withColumnRenamed("lang", "query"), 5)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    qv = qt.join(tv, "term").groupBy("lang").agg(F.collect_list("vec").alias("_v")) \
+        .select("lang", F.aggregate("_v", F.array_repeat(F.lit(0.0), 64), plus).alias("vec"))
+    out = M.search_vectors(dv.withColumnRenamed("doc_id", "id"), qv.withColumnRenamed("lang", "query"), 5)
     return out.select("query", "id", r("sim", "sim"), "rank")
 
 

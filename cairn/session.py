@@ -12,6 +12,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -98,21 +99,28 @@ def cut_lineage(df):
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df, name: str):
-    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back: the
-    lineage ends there, and what reads it several times sees the same rows. What the write
-    shuffled is deleted with its end."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What queries shuffle inside the block is deleted when they end."""
     before = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(FREE_SHUFFLES)
         else:
             spark.conf.set(FREE_SHUFFLES, before)
+
+
+def stored(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back: the
+    lineage ends there, and what reads it several times sees the same rows. What the write
+    shuffled is deleted with its end."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
